@@ -15,12 +15,15 @@ SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
 
 
 def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, length, modified): all Parquet files below ``paths``, service files left out, listed by Spark without reading a file."""
+    """(path, file_path, length, modified): all Parquet files below ``paths``, service
+    files left out, listed by Spark without reading one. ``path`` is the plain
+    spelling, ``file_path`` that of the hidden metadata column of a scan, which
+    escapes some characters."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(paths)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
+        .select("path", F.col("_metadata.file_path").alias("file_path"), "length", F.col("modificationTime").alias("modified"))
     )
 
 
@@ -43,12 +46,10 @@ def _schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def open_path(path: str):
     """Arrow file system and path of a Hadoop path; local paths without the JVM."""
-    from urllib.parse import unquote
-
     from pyarrow import fs
 
     if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path)
 
 
