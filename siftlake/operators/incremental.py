@@ -106,14 +106,19 @@ class IntervalLedger:
         todo = self.gaps(available, seq)
         if not todo:
             return 0
-        table = self.spark.createDataFrame(todo, "lo bigint, hi bigint")
-        inside = (F.col(seq) >= F.col("lo")) & (F.col(seq) <= F.col("hi"))
+        new = available.filter(F.lit(False))
         if len(todo) <= 64:
             cond = F.lit(False)
             for lo, hi in todo:
                 cond = cond | F.col(seq).between(lo, hi)
             new = available.filter(cond)
         else:
+            # an equality on blocks of numbers, so that no row meets every interval
+            span = 1 << 16
+            table = self.spark.createDataFrame(todo, "__lo bigint, __hi bigint").select(
+                "__lo", "__hi", F.explode(F.sequence(F.floor(F.col("__lo") / span), F.floor(F.col("__hi") / span))).alias("__block")
+            )
+            inside = (F.floor(F.col(seq) / span) == F.col("__block")) & F.col(seq).between(F.col("__lo"), F.col("__hi"))
             new = available.join(table, inside, "left_semi")
         out = f"{self.root}/data/{number}-{uuid.uuid4().hex}"
         result = work(new)

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftlake.functions.filters import load_filter
-from siftlake.plans.predicate import Leaf, Node, can_be, leaves
+from siftlake.plans.predicate import Leaf, Node, can_be, leaves, row_can_be
 from siftlake.sources.metastore import Files
 
-#: Row groups up to which a loaded index stays in memory.
+#: Row groups up to which a loaded index is kept by the executors.
 CACHED_BLOCKS = 200_000
+#: Row groups, and bytes of filters, up to which an index is judged on the driver,
+#: which saves the start of jobs; beyond either it is judged by jobs.
+LOCAL_BLOCKS, LOCAL_FILTER_BYTES = 20_000, 128 << 20
 
 
 class LoadedIndex:
@@ -34,12 +37,44 @@ class LoadedIndex:
         self.files = spark.read.parquet(f"{at}/files")
         self.stats = spark.read.parquet(f"{at}/stats")
         self.filters = spark.read.parquet(f"{at}/filters") if self.filter else None
+        self.local = self.blocks_total <= LOCAL_BLOCKS and meta["filter_bytes"] <= LOCAL_FILTER_BYTES
+        self._rows: list[dict] | None = None
+        self._loaded: dict[tuple[int, int, int], object] = {}
+        if self.local:
+            if eager:
+                self._load_filters(range(len(self.columns)))
+            return
         if self.blocks_total <= CACHED_BLOCKS:
             self.stats = self.stats.coalesce(max(1, self.blocks_total // 50_000)).cache()
         if eager and self.filters is not None:
             self.filters = self.filters.cache()
             self.filters.count()
 
+    def _load_filters(self, columns) -> None:
+        """Filters of columns to the driver, each column once; their size was checked when the index was built."""
+        if self.filters is None:
+            return
+        new = [i for i in columns if (i, -1, -1) not in self._loaded]
+        if new:
+            for r in self.filters.filter(F.col("col").isin(new)).collect():
+                self._loaded[r["col"], r["file_key"], r["block"]] = load_filter(r["kind"], bytes(r["data"]))
+            self._loaded |= {(i, -1, -1): True for i in new}
+
+    def _kept_locally(self, tree: Leaf | Node) -> list[tuple[str, str]]:
+        if self._rows is None:
+            self._rows = [r.asDict() for r in self.stats.collect()]
+        left = [r for r in self._rows if row_can_be(tree, self.numbers, r, None)[0]]
+        asked = sorted({self.numbers[x.column] for x in leaves(tree) if x.op in ("eq", "in", "eqnull")})
+        if left and asked and self.filters is not None:
+            self._load_filters(asked)
+
+            def maybe(row: dict, i: int, value) -> bool:
+                found = self._loaded.get((i, row["file_key"], row["block"]))
+                return found is None or found.might_contain(value)
+
+            left = [r for r in left if row_can_be(tree, self.numbers, r, maybe)[0]]
+        return sorted({(r["file_path"], r["path"]) for r in left})
+
     def kept_blocks(self, tree: Leaf | Node) -> DataFrame:
         """Rows of the statistics whose row group may hold a row for which ``tree`` is true.
 
@@ -64,6 +99,8 @@ class LoadedIndex:
 
     def kept_files(self, tree: Leaf | Node) -> list[tuple[str, str]]:
         """(hidden metadata spelling, plain spelling) of the paths of the files that may hold a match. Files without row groups have none."""
+        if self.local:
+            return self._kept_locally(tree)
         return sorted((r[0], r[1]) for r in self.kept_blocks(tree).select("file_path", "path").distinct().collect())
 
 

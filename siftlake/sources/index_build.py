@@ -254,6 +254,7 @@ def build_index(spark: SparkSession, root: str, to: str, columns: list[str] | No
         "filter": option,
         "files": files.count(),
         "blocks": told["blocks"],
+        "filter_bytes": int(stats.agg(F.sum(F.octet_length("data"))).first()[0] or 0) if option else 0,
     }
     Metastore(spark).files.write(f"{to}/metadata.json", dump_json(body))
 
