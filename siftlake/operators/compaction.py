@@ -163,20 +163,21 @@ def compact_files(spark: SparkSession, source: str | list[str], target: str, clu
     bound = df.agg(*[F.min(values[c]).alias(f"a_{c}") for c in cluster_by], *[F.max(values[c]).alias(f"b_{c}") for c in cluster_by]).first()
     bits = min(16, 62 // len(cluster_by))
     code = hilbert_column([scaled(values[c], bound[f"a_{c}"], bound[f"b_{c}"], bits) for c in cluster_by], bits)
-    cell = F.shiftright("__code", max(0, bits * len(cluster_by) - CELL_BITS))
-    coded = df.withColumn("__code", code)
-    histogram = coded.groupBy(cell.alias("cell")).count().orderBy("cell").collect()
+    cell = F.shiftright("code", max(0, bits * len(cluster_by) - CELL_BITS))
+    # the row as one struct, so that no column of it can clash with these
+    coded = df.select(F.struct("*").alias("row"), code.alias("code"), F.xxhash64(*_hashable(df)).alias("mark")).withColumn("cell", cell)
+    histogram = coded.groupBy("cell").count().orderBy("cell").collect()
     rows = sum(r["count"] for r in histogram)
     files = max(1, math.ceil(rows / rows_per_file))
     at, spans = 0, []
     for r in histogram:
         spans.append((r["cell"], at, r["count"]))
         at += r["count"]
-    table = spark.createDataFrame(spans, "__cell bigint, __before bigint, __n bigint")
-    spread = F.pmod(F.xxhash64(*_hashable(df)), F.lit(1 << 20)) / float(1 << 20)
-    place = F.least(F.lit(files - 1), F.floor((F.col("__before") + spread * F.col("__n")) * files / max(1, rows))).cast("int")
-    routed = coded.withColumn("__cell", cell).join(F.broadcast(table), "__cell").withColumn("__file", place)
-    routed.repartitionById(files, F.col("__file")).sortWithinPartitions("__code").select(*[f"`{c}`" for c in df.columns]).write.parquet(target)
+    table = spark.createDataFrame(spans, "cell bigint, before bigint, n bigint")
+    spread = F.pmod(F.col("mark"), F.lit(1 << 20)) / float(1 << 20)
+    place = F.least(F.lit(files - 1), F.floor((F.col("before") + spread * F.col("n")) * files / max(1, rows))).cast("int")
+    routed = coded.join(F.broadcast(table), "cell").withColumn("file", place)
+    routed.repartitionById(files, F.col("file")).sortWithinPartitions("code").select("row.*").write.parquet(target)
     before, after = row_digest(df), row_digest(spark.read.schema(df.schema).parquet(target))
     if before != after:
         raise RuntimeError(f"digests differ: {before} before, {after} after")

@@ -106,7 +106,6 @@ class IntervalLedger:
         todo = self.gaps(available, seq)
         if not todo:
             return 0
-        new = available.filter(F.lit(False))
         if len(todo) <= 64:
             cond = F.lit(False)
             for lo, hi in todo:
@@ -115,11 +114,13 @@ class IntervalLedger:
         else:
             # an equality on blocks of numbers, so that no row meets every interval
             span = 1 << 16
-            table = self.spark.createDataFrame(todo, "__lo bigint, __hi bigint").select(
-                "__lo", "__hi", F.explode(F.sequence(F.floor(F.col("__lo") / span), F.floor(F.col("__hi") / span))).alias("__block")
+            span = 1 << 16
+            table = self.spark.createDataFrame(todo, "lo bigint, hi bigint").select(
+                "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / span), F.floor(F.col("hi") / span))).alias("block")
             )
-            inside = (F.floor(F.col(seq) / span) == F.col("__block")) & F.col(seq).between(F.col("__lo"), F.col("__hi"))
-            new = available.join(table, inside, "left_semi")
+            whole = available.select(F.struct("*").alias("row"), F.col(seq).alias("number"))
+            inside = (F.floor(F.col("number") / span) == F.col("block")) & F.col("number").between(F.col("lo"), F.col("hi"))
+            new = whole.join(table, inside, "left_semi").select("row.*")
         out = f"{self.root}/data/{number}-{uuid.uuid4().hex}"
         result = work(new)
         result.write.parquet(out)
