@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.plans.shared import BROADCAST_ROWS, row_count_within
+from siftlake.plans.shared import BROADCAST_ROWS, cut, row_count_within
 
 #: Largest number of keys treated as heavy; also the number of counters of the sketch.
 MOST_HEAVY = 64
@@ -97,11 +97,13 @@ def host_load(block_locations: DataFrame, file_status: DataFrame, cluster_hosts:
     without placements is not listed; a file without a known size adds 0 bytes.
     """
     blocks = distinct_blocks(block_locations.filter("file_id is not null and block_no is not null"))
-    entries = (
+    # read for the sketch and for both parts of the join
+    entries = cut(
         blocks.select("file_id", F.explode("hosts").alias("name"))
         .select("file_id", host_name_key(F.col("name")).alias("name"))
         .groupBy("file_id", "name")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n")),
+        "placements",
     )
     names = F.array(F.col("host_name"), F.substring_index("host_name", ".", 1), F.col("ip"), F.col("alias"))
     hosts = (
@@ -120,8 +122,7 @@ def host_load(block_locations: DataFrame, file_status: DataFrame, cluster_hosts:
 
 def busiest(load: DataFrame, share: float = 0.02) -> DataFrame:
     """Hosts of ``host_load`` with at least ``share`` of all placements or bytes."""
-    total = load.agg(F.sum("placements").alias("all_placements"), F.sum("bytes").alias("all_bytes"))
-    both = load.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    return both.filter((F.col("placements") >= share * F.col("all_placements")) | (F.col("bytes") >= share * F.col("all_bytes"))).select(
-        *load.columns
-    )
+    total = load.agg(F.sum("placements"), F.sum("bytes")).first()
+    if total[0] is None:
+        return load.limit(0)
+    return load.filter((F.col("placements") >= share * float(total[0])) | (F.col("bytes") >= share * float(total[1])))
