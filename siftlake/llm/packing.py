@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Tokens that a container holds.
 CAPACITY = 16_384
-#: Documents are packed in shards of about so many tokens and at most about so many items; each shard leaves less than two containers open.
+#: Documents are packed in shards of about so many tokens and at most about so many items: about 2,000 containers, of which sharding costs one or two.
 SHARD_TOKENS, SHARD_ITEMS = 1 << 25, 200_000
 
 
@@ -94,9 +94,9 @@ def _pack_shard(capacity: int):
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(doc_id, piece_no, start_token, n_tokens, container_id): where each document goes.
 
-    Only ids and sizes move. Documents are dealt by a hash into shards so large that
-    the two containers a shard may leave open don't count, and each shard is packed by
-    ``pack``. A document larger than a container is cut into full containers and a
+    Only ids and sizes move. Documents are dealt by a hash into shards of so many
+    containers that the one or two more that a shard takes don't count, and each shard
+    is packed by ``pack``. A document larger than a container is cut into full containers and a
     rest, which is an item like others; no other document is cut.
 
     A null or empty text is an item of size 0 (in a container, taking nothing). Rows
