@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.plans.ordered import ordered_scan
+
 #: Tokens that a container holds.
 CAPACITY = 16_384
 #: Documents are packed in shards of about so many tokens and at most about so many items: about 2,000 containers, of which sharding costs one or two.
@@ -94,9 +96,9 @@ def _pack_shard(capacity: int):
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(doc_id, piece_no, start_token, n_tokens, container_id): where each document goes.
 
-    Only ids and sizes move. Documents are dealt by a hash into shards of so many
-    containers that the one or two more that a shard takes don't count, and each shard
-    is packed by ``pack``. A document larger than a container is cut into full containers and a
+    Only ids and sizes move. Documents in the order of their sizes are dealt out over
+    shards like cards, so that all shards hold the same mixture and the one or two more
+    containers that a shard may take don't count, and each shard is packed by ``pack``. A document larger than a container is cut into full containers and a
     rest, which is an item like others; no other document is cut.
 
     A null or empty text is an item of size 0 (in a container, taking nothing). Rows
@@ -106,7 +108,12 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard_tokens:
     sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), size_in_bytes(F.col("text")).alias("size"))
     total = sizes.agg(F.sum("size").alias("tokens"), F.sum(F.ceil(F.greatest("size", F.lit(1)) / capacity)).alias("items")).first()
     shards = max(1, -(-int(total["tokens"] or 0) // shard_tokens), -(-int(total["items"] or 0) // shard_items))
-    dealt = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("long"))
+    if shards == 1:
+        dealt = sizes.withColumn("shard", F.lit(0).cast("long"))
+    else:
+        # dealt out in the order of their sizes, every shard gets the same mixture
+        ranked = ordered_scan(sizes, [], ["size", "doc_id"], seq="rank")
+        dealt = ranked.select("doc_id", "size", F.pmod("rank", F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(
         _pack_shard(capacity), "doc_id bigint, piece_no bigint, start_token bigint, n_tokens bigint, container_id bigint"
     )
