@@ -47,7 +47,7 @@ def physical(value, kind: str):
 
 
 def _footers(names: list[str], kinds: list[str]):
-    """(file_key, block, first_row, rows, complete, nulls, lows, highs) of each row group, one row with block -1 for a file without any."""
+    """(file_key, block, first_row, rows, complete, nulls, lows, highs) of each row group, one row with block -1 for a file without any. Row groups without rows count as none."""
     struct = pa.list_(pa.struct([("nulls", pa.int64()), ("a_num", pa.int64()), ("b_num", pa.int64()), ("a_str", pa.string()), ("b_str", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +61,17 @@ def _footers(names: list[str], kinds: list[str]):
                     meta = pq.ParquetFile(f).metadata
                     places = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                     first = 0
-                    if not meta.num_row_groups:
+                    full = [b for b in range(meta.num_row_groups) if meta.row_group(b).num_rows]
+                    if not full:
                         out.append((key, -1, 0, 0, True, []))
-                    for b in range(meta.num_row_groups):
+                    for b in full:
                         group, complete, stats = meta.row_group(b), True, []
                         for name, kind in zip(names, kinds):
                             if name not in places:
                                 stats.append({"nulls": group.num_rows})
                                 continue
-                            s = group.column(places[name]).statistics
+                            chunk = group.column(places[name])
+                            s = None if chunk.physical_type == "INT96" else chunk.statistics
                             if s is None or not s.has_null_count or (not s.has_min_max and s.null_count < group.num_rows):
                                 complete = False
                                 stats.append({})
@@ -213,7 +215,7 @@ def build_index(spark: SparkSession, root: str, to: str, columns: list[str] | No
             "file_key", "block", "col", "rows", "s.*"
         )
     else:
-        summary = fresh_dir(spark, "summaries")
+        summary, folder = fresh_dir(spark, "summaries"), Metastore(spark).files.is_dir(root)
         paths = [(r[0], r[1]) for r in files.select("path", "file_key").orderBy("path").toLocalIterator()]
         for at in range(0, len(paths), FILES_PER_PASS):
             some = paths[at : at + FILES_PER_PASS]
@@ -224,7 +226,8 @@ def build_index(spark: SparkSession, root: str, to: str, columns: list[str] | No
                 starts.append(r["first_row"])
                 sizes.append(r["rows"])
             sent = spark.sparkContext.broadcast({k: (np.array(a), np.array(b)) for k, (a, b) in bounds.items()})
-            scan = spark.read.schema(base.schema).options(**options).option("basePath", root).parquet(*[p for p, _ in some])
+            reader = spark.read.schema(base.schema).options(**options)
+            scan = (reader.option("basePath", root) if folder else reader).parquet(*[p for p, _ in some])
             rows = scan.select(
                 F.xxhash64("_metadata.file_path").alias("file_key"),
                 F.col("_metadata.row_index").alias("row_index"),
