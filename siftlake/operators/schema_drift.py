@@ -80,7 +80,7 @@ class DriftCatalogue:
         turns = ordered_scan(files, ["dataset_id"], order, lag=["sign"], seq="file_no").filter("prev_sign is null or prev_sign != sign")
         #: files whose schema differs from the one before, numbered within the data set
         self.versions = cut(
-            ordered_scan(turns.drop("prev_sign"), ["dataset_id"], order, seq="version"), "versions"
+            ordered_scan(turns, ["dataset_id"], order, seq="version"), "versions"
         )
 
     def field_versions(self) -> DataFrame:
@@ -112,15 +112,13 @@ class DriftCatalogue:
 
     def changes(self) -> DataFrame:
         """(dataset_id, file_id, field_name, change_kind): every field that a file adds, renames, removes or retypes against the file before it."""
-        at = self.versions.select("dataset_id", "version", "file_id")
+        at = self.versions.filter("prev_sign is not null").withColumn("turn", F.concat("prev_sign", "sign"))
+        # what a turn from one schema to another changes is told once, from the log of the first version that takes it
+        first = at.groupBy("turn").agg(F.min(F.struct("dataset_id", "version")).alias("x")).select("turn", "x.*")
         side = lambda name: F.collect_list(F.when(F.col("event") == name, F.col("field"))).alias(name)
-        turns = (
-            self.log()
-            .join(at, ["dataset_id", "version"])
-            .groupBy("dataset_id", "file_id")
-            .agg(side("ended"), side("started"))
-        )
-        return turns.mapInArrow(_classify, "dataset_id bigint, file_id bigint, field_name string, change_kind string")
+        turns = self.log().join(first, ["dataset_id", "version"]).groupBy("turn").agg(side("ended"), side("started"))
+        told = cut(turns.mapInArrow(_classify, "turn string, field_name string, change_kind string"), "turns")
+        return skew_join(at.select("dataset_id", "file_id", "turn"), told, "turn").drop("turn")
 
     def schema_history(self) -> DataFrame:
         """The catalogue for readers: (dataset_id, field_name, field_type, first_file, last_file, first_no, last_no); ``last_file`` is the file that begins the last version with the field."""
@@ -182,9 +180,9 @@ class DriftCatalogue:
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for d, f, ended, started in zip(*(batch[c].to_pylist() for c in ("dataset_id", "file_id", "ended", "started"))):
-            rows += [(d, f, name, kind) for name, kind in dict.fromkeys(classify(ended, started))]
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["dataset_id", "file_id", "field_name", "change_kind"])
+        for turn, ended, started in zip(*(batch[c].to_pylist() for c in ("turn", "ended", "started"))):
+            rows += [(turn, name, kind) for name, kind in dict.fromkeys(classify(ended, started))]
+        yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["turn", "field_name", "change_kind"])
 
 
 def _renames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
