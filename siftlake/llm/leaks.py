@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ BLOCK_ITEMS = 5_000
 class _Items:
     """A block of test items as numbers: at most ``BLOCK_ITEMS``, hence small enough to send to every worker."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: Iterable[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
         self.words: list[tuple[int, list[int]]] = []
         same: dict[tuple[int, ...], int] = {}
@@ -155,11 +156,11 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, block_items: int =
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, unchanged_words int, span_words int, score int"
     items = eval_items.filter("item_id is not null and prompt is not null").select("item_id", "prompt").distinct()
-    rows = [(r[0], r[1]) for r in items.orderBy("item_id", "prompt").toLocalIterator()]
+    ordered = ((r[0], r[1]) for r in items.orderBy("item_id", "prompt").toLocalIterator())
     texts = documents.filter("doc_id is not null and text is not null and text != ''").select("doc_id", "text")
     out = spark.createDataFrame([], schema)
-    for first in range(0, len(rows), block_items):
-        block = _Items(rows[first : first + block_items])
+    for rows in batched(ordered, block_items):  # a block of items at a time on the driver
+        block = _Items(rows)
         sent = spark.sparkContext.broadcast(block)
         hits = cut(texts.mapInArrow(_seek(sent), "doc_id bigint, line array<int>, grams array<int>, places array<int>"), "leak-hits")
         counted = hits.select("doc_id", F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").count()
