@@ -11,9 +11,11 @@ def canonical_path(path: Column) -> Column:
     runs of slashes made one, no trailing slash. A ``%`` that begins no escape
     stays as it is, ``+`` is no space. Null stays null."""
     bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "")
+    # patterns run only where there is something to replace
     safe = F.regexp_replace(F.regexp_replace(bare, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
     decoded = F.when(bare.contains("%"), F.url_decode(safe)).otherwise(bare)
-    return F.regexp_replace(F.regexp_replace(decoded, "/+", "/"), "/$", "")
+    single = F.when(decoded.contains("//"), F.regexp_replace(decoded, "/+", "/")).otherwise(decoded)
+    return F.when(single.endswith("/"), F.substring(single, F.lit(1), F.length(single) - 1)).otherwise(single)
 
 
 def directory(canonical: Column) -> Column:
