@@ -9,6 +9,7 @@ lifespans. Their starts and endings are the log from which each change follows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.functions.schemas import classify, declared_fields, flatten, signature
+from siftlake.functions.schemas import classify, declared_fields, flatten, match_fields, signature
 from siftlake.operators.heavy import skew_join
 from siftlake.plans.ordered import gap_islands, ordered_scan
 from siftlake.plans.shared import cut
@@ -139,42 +140,32 @@ class DriftCatalogue:
         )
 
     def aliases(self) -> DataFrame:
-        """The alias table (dataset_id, old_name, name): top-level names that renames lead to the latest one. Renames of a data set form chains; only the
-        rows of renames, a small part of the log, are grouped per data set."""
-        at = self.versions.select("dataset_id", "version", "file_id")
-        side = lambda name: F.collect_list(F.when(F.col("event") == name, F.col("field"))).alias(name)
-        turns = (
-            self.log()
-            .join(at, ["dataset_id", "version"])
-            .groupBy("dataset_id", "version")
-            .agg(side("ended"), side("started"))
-        )
-        renames = turns.mapInArrow(_renames, "dataset_id bigint, version bigint, old_name string, new_name string")
-        return renames.groupBy("dataset_id").applyInArrow(_follow, "dataset_id bigint, old_name string, name string")
+        """The alias table (dataset_id, old_name, name, field_id, first_pos, last_pos): top-level names that lead to another column, and the versions in which they do."""
+        return self.casts().filter("old_name != name").select("dataset_id", "old_name", "name", "field_id", "first_pos", "last_pos")
 
     def casts(self) -> DataFrame:
-        """One consistent schema per data set and how each old form gets into it:
-        (dataset_id, old_name, old_type, name, type, cast_sql). Types widen to the narrowest type that holds all forms, else to string."""
-        forms = (
-            self.lifespans()
-            .filter(F.size("field.outer") == 0)
-            .select("dataset_id", F.col("field.name").alias("old_name"), F.col("field.type").alias("old_type"))
-            .distinct()
-        )
-        named = forms.join(self.aliases(), ["dataset_id", "old_name"], "left").withColumn("name", F.coalesce("name", "old_name"))
-        types = named.groupBy("dataset_id", "name").agg(F.array_sort(F.collect_set("old_type")).alias("types"))
-        wide = types.select("dataset_id", "name", wider_type(F.col("types")).alias("type"))
-        out = named.join(wide, ["dataset_id", "name"])
-        return out.select(
+        """One consistent schema per data set and how each old form gets into it: (dataset_id, old_name, old_type, name, type, cast_sql,
+        field_id, first_pos, last_pos), a row for each run of versions in which a column had that form. Types widen to the narrowest type that
+        holds all forms, else to string.
+
+        Fields are followed from version to version by the rules of ``changes``, not by their names alone, so a name that is used
+        again for another field has a column of its own; a field that comes back (by id, or by name where one has no id) gets its old column.
+        Columns have the latest name of their field; where two differ in letter case at most, the one that is gone longer, else the younger,
+        has a suffix. A data set streams through one task, which holds its fields and their forms.
+        """
+        spans = self.lifespans().filter(F.size("field.outer") == 0)
+        events = spans.select(
             "dataset_id",
-            "old_name",
-            "old_type",
-            "name",
-            "type",
-            F.when(F.col("old_type") == F.col("type"), F.concat(F.lit("`"), "old_name", F.lit("` AS `"), "name", F.lit("`")))
-            .otherwise(F.concat(F.lit("CAST(`"), "old_name", F.lit("` AS "), "type", F.lit(") AS `"), "name", F.lit("`")))
-            .alias("cast_sql"),
-        )
+            "field",
+            F.explode(
+                F.array(
+                    F.struct(F.col("first_pos").alias("version"), F.lit(True).alias("starts")),
+                    F.struct((F.col("last_pos") + 1).alias("version"), F.lit(False).alias("starts")),
+                )
+            ).alias("e"),
+        ).select("dataset_id", "e.version", "e.starts", "field")
+        ordered = events.repartition("dataset_id").sortWithinPartitions("dataset_id", "version")
+        return ordered.mapInArrow(_casts, CAST)
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,29 +176,178 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["turn", "field_name", "change_kind"])
 
 
-def _renames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from siftlake.functions.schemas import match_fields
-
-    for batch in batches:
-        rows: list[tuple] = []
-        for d, v, ended, started in zip(*(batch[c].to_pylist() for c in ("dataset_id", "version", "ended", "started"))):
-            pairs, _, _ = match_fields([f for f in ended if not f["outer"]], [f for f in started if not f["outer"]])
-            rows += [(d, v, g["name"], c["name"]) for g, c in pairs if g["name"] != c["name"]]
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["dataset_id", "version", "old_name", "new_name"])
-
-
-def _follow(table: pa.Table) -> pa.Table:
-    """Latest name of each old one: renames in order, a later one overrides."""
-    rows = sorted(zip(*(table[c].to_pylist() for c in ("version", "old_name", "new_name"))))
-    final: dict[str, str] = {}
-    for _, old, new in rows:
-        for k, v in final.items():
-            if v == old:
-                final[k] = new
-        final[old] = new
-        final.pop(new, None)
-    d = table["dataset_id"][0].as_py()
-    return pa.table({"dataset_id": pa.array([d] * len(final), pa.int64()), "old_name": pa.array(list(final), pa.string()), "name": pa.array(list(final.values()), pa.string())})
+class _Column:
+    """A field followed through the versions of a data set, with the columns inside it."""
+
+    def __init__(self, outer: _Column | None, version: int):
+        self.outer, self.first, self.last = outer, version, None
+        self.name = self.type = self.id = None
+        self.inner: list[_Column] = []
+        self.types: set[str] = set()
+        #: form -> its number, and runs (number of the form, first version, last version) of a top-level column
+        self.forms: dict[tuple, int] = {}
+        self.runs: list[list] = []
+        self.target = self.target_type = ""
+
+    def take(self, field: dict) -> None:
+        self.name, self.type, self.id, self.last = field["name"], field["type"], field["id"], None
+        self.types.add(self.type)
+
+    def form(self) -> tuple:
+        """Name, id, type and the forms inside, as they are now."""
+        return self.name, self.id, self.type, tuple((n, k.form()) for n, k in enumerate(self.inner) if k.last is None) if self.type == "struct" else ()
+
+
+class _DataSet:
+    """The columns of a data set; ``turn`` takes what ends and starts with a version, in the order of versions."""
+
+    def __init__(self):
+        self.root = _Column(None, 0)
+        self.at: dict[tuple, _Column] = {}
+
+    def turn(self, version: int, ended: list[dict], started: list[dict]) -> None:
+        place = lambda f: (*f["outer"], f["step"])
+        touched: dict[int, _Column] = {}
+        old = {place(f): self.at.pop(place(f)) for f in ended if place(f) in self.at}
+        ended = [f for f in ended if place(f) in old]
+        for depth in range(1 + max((len(f["outer"]) for f in [*ended, *started]), default=0)):
+            levels: dict[int, tuple[_Column, list, list]] = {}
+            for f in ended:
+                if len(f["outer"]) == depth:
+                    outer = old[place(f)].outer
+                    levels.setdefault(id(outer), (outer, [], []))[1].append(f)
+            for f in started:
+                if len(f["outer"]) == depth:
+                    outer = self.at[tuple(f["outer"])] if depth else self.root
+                    levels.setdefault(id(outer), (outer, [], []))[2].append(f)
+            for outer, gone, come in levels.values():
+                # fields of a struct that is gone, is new or has become one stand against none
+                pairs, _, added = match_fields(gone, come)
+                for g in gone:
+                    old[place(g)].last = version - 1
+                for g, c in pairs:
+                    self._put(old[place(g)], c, touched)
+                for c in added:
+                    self._put(self._again(outer, c) or self._new(outer, version), c, touched)
+                for g in gone:
+                    self._touch(old[place(g)], touched)
+        for column in touched.values():
+            if column.runs and column.runs[-1][2] is None:
+                column.runs[-1][2] = version - 1
+            if column.last is None:
+                column.runs.append([column.forms.setdefault(column.form(), len(column.forms)), version, None])
+
+    def _put(self, column: _Column, field: dict, touched: dict) -> None:
+        column.take(field)
+        self.at[(*field["outer"], field["step"])] = column
+        self._touch(column, touched)
+
+    def _touch(self, column: _Column, touched: dict) -> None:
+        while column.outer is not self.root:
+            column = column.outer
+        touched[id(column)] = column
+
+    def _new(self, outer: _Column, version: int) -> _Column:
+        outer.inner.append(_Column(outer, version))
+        return outer.inner[-1]
+
+    def _again(self, outer: _Column, field: dict) -> _Column | None:
+        """The column of a field that was there before, the last one that went first."""
+        gone = sorted((k for k in outer.inner if k.last is not None), key=lambda k: -k.last)
+        by_id = (k for k in gone if k.id is not None and k.id == field["id"])
+        by_name = (k for k in gone if k.name == field["name"] and (k.id is None or field["id"] is None))
+        return next(by_id, None) or next(by_name, None)
+
+    def rows(self) -> Iterator[tuple]:
+        _settle(self.root)
+        for column in self.root.inner:
+            told = [(f[0], f[1], _form_type(f), f"{_cast(column, f, _quoted(f[0]))} AS {_quoted(column.target)}") for f in column.forms]
+            runs: list[list] = []
+            for form, first, last in column.runs:
+                if runs and runs[-1][0] == told[form] and runs[-1][2] == first - 1:
+                    runs[-1][2] = last
+                else:
+                    runs.append([told[form], first, last])
+            for (name, ident, kind, sql), first, last in runs:
+                yield name, kind, column.target, column.target_type, sql, ident, first, last
+
+
+def _settle(outer: _Column) -> None:
+    """Names, unlike in more than letter case, and types of the columns inside ``outer``."""
+    taken = {k.name.lower() for k in outer.inner}
+    first: set[str] = set()
+    for column in sorted(outer.inner, key=lambda k: (k.last is not None, -(k.last or 0), k.first)):
+        name, n = column.name, 1
+        if name.lower() in first:
+            while name.lower() in taken:
+                n += 1
+                name = f"{column.name}_{n}"
+            taken.add(name.lower())
+        first.add(name.lower())
+        column.target = name
+    for column in outer.inner:
+        _settle(column)
+        if column.types == {"struct"}:
+            column.target_type = _struct_type([(k.target, k.target_type) for k in column.inner])
+        else:
+            column.target_type = "string" if "struct" in column.types else wider_type.func(sorted(column.types))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _struct_type(fields: list[tuple[str, str]]) -> str:
+    if not fields:
+        return "struct"
+    return "struct<" + ",".join(f"{n if n.isascii() and n.isidentifier() else _quoted(n)}:{t}" for n, t in fields) + ">"
+
+
+def _form_type(form: tuple) -> str:
+    return _struct_type(sorted((f[0], _form_type(f)) for _, f in form[3])) if form[2] == "struct" else form[2]
+
+
+def _cast(column: _Column, form: tuple, value: str) -> str:
+    if "struct" not in column.types:
+        return value if form[2] == column.target_type else f"CAST({value} AS {column.target_type})"
+    if column.types != {"struct"}:
+        return f"to_json({value})" if form[2] == "struct" else value if form[2] == "string" else f"CAST({value} AS string)"
+    if not column.inner:
+        return value
+    # by name and in one order, whatever the order in the file
+    have, parts = dict(form[3]), []
+    for n, k in enumerate(column.inner):
+        name = k.target.replace("\\", "\\\\").replace("'", "\\'")
+        parts.append(f"'{name}', " + (_cast(k, have[n], f"{value}.{_quoted(have[n][0])}") if n in have else f"CAST(NULL AS {k.target_type})"))
+    return f"CASE WHEN {value} IS NOT NULL THEN named_struct({', '.join(parts)}) END"
+
+
+CAST = "dataset_id bigint, old_name string, old_type string, name string, type string, cast_sql string, field_id bigint, first_pos bigint, last_pos bigint"
+
+
+def _casts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), *[pa.string()] * 5, *[pa.int64()] * 3]
+    names = [x.split()[0] for x in CAST.split(", ")]
+
+    def events() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch[c].to_pylist() for c in ("dataset_id", "version", "starts", "field")))
+
+    out: list[tuple] = []
+    for d, of_set in itertools.groupby(events(), key=lambda e: e[0]):
+        known, final = _DataSet(), 0
+        for v, of_version in itertools.groupby(of_set, key=lambda e: e[1]):
+            ended, started = [], []
+            for _, _, starts, field in of_version:
+                (started if starts else ended).append(field)
+            known.turn(v, ended, started)
+        for row in known.rows():
+            out.append((d, *row))
+            if len(out) >= 4096:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                out = []
+    if out:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
 
 #: Number types from narrow to wide.
@@ -246,7 +386,8 @@ def read_consistent(spark: SparkSession, paths: list[str], aliases: dict[str, st
     present names and the widest of their types, and columns a group lacks are
     null. Values that don't fit a type become null (``try_cast``). ``paths`` may be
     directories; the distinct schemas, not the files, make up the plan. An empty
-    list raises ``ValueError``; columns come in the order of their first sighting.
+    list raises ``ValueError``, and so does a file of which two fields would get one
+    name, as when an old name is used again for another field; columns come in the order of their first sighting.
     """
     from siftlake.sources.footers import file_schemas
 
@@ -255,7 +396,10 @@ def read_consistent(spark: SparkSession, paths: list[str], aliases: dict[str, st
         raise ValueError("no Parquet files to read")
     aliases = aliases or {}
     final: dict[str, list[str]] = {}
-    for schema, _ in groups:
+    for schema, files in groups:
+        names = [aliases.get(f.name, f.name) for f in schema.fields]
+        if twice := sorted({n for n in names if names.count(n) > 1}):
+            raise ValueError(f"{files[0]} has several fields for {', '.join(twice)}; its names need aliases of their own")
         for f in schema.fields:
             final.setdefault(aliases.get(f.name, f.name), []).append(f.dataType.simpleString())
     long_names = {"int": "integer", "bigint": "long", "smallint": "short", "tinyint": "byte"}
@@ -270,8 +414,7 @@ def read_consistent(spark: SparkSession, paths: list[str], aliases: dict[str, st
         for f in schema.fields:
             name = aliases.get(f.name, f.name)
             value = F.col(f"`{f.name}`")
-            value = value if f.dataType.simpleString() == kinds[name] else value.try_cast(kinds[name])
-            have[name] = F.coalesce(have[name], value) if name in have else value
+            have[name] = value if f.dataType.simpleString() == kinds[name] else value.try_cast(kinds[name])
         parts.append(df.select([have[n].alias(n) if n in have else F.lit(None).cast(k).alias(n) for n, k in kinds.items()]))
     out = parts[0]
     for p in parts[1:]:

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 
 from siftlake.functions.schemas import declared_fields, flatten, read_message_schema
@@ -110,3 +111,32 @@ def test_read_consistent(spark, tmp_path):
     got = read_consistent(spark, [str(tmp_path)], {"c": "b"})
     assert got.dtypes == [("a", "bigint"), ("b", "string"), ("odd name", "bigint")]
     assert rows(got) == sorted([(i, str(i), None) for i in range(3)] + [(i, f"v{i}", i) for i in range(3)], key=repr)
+
+
+def test_a_name_used_again_is_another_column(spark):
+    ident = lambda n: {"parquet.field.id": n}
+    df = files(
+        spark,
+        (None, struct(("batch", "integer", ident(3)), ("lat", "long", ident(6)), ("x", "date", ident(1)))),
+        (None, struct(("batch_v2", "integer", ident(3)), ("LAT", "long", ident(6)))),
+        (None, struct(("batch_v2", "integer", ident(3)), ("batch", "string", ident(18)), ("LAT", "long", ident(6)), ("lat", "double", ident(19)), ("x", "long", ident(2)))),
+        (None, struct(("batch_v2", "integer", ident(3)), ("batch", "string", ident(18)), ("LAT", "long", ident(6)))),
+        (None, struct(("batch_v2", "integer", ident(3)), ("batch", "string", ident(18)), ("LAT", "long", ident(6)), ("lat", "double", ident(19)))),
+    )
+    c = DriftCatalogue(df)
+    assert rows(c.casts().select("old_name", "field_id", "first_pos", "last_pos", "name", "type")) == sorted(
+        [
+            ("batch", 3, 1, 1, "batch_v2", "integer"), ("batch_v2", 3, 2, 5, "batch_v2", "integer"), ("batch", 18, 3, 5, "batch", "string"),
+            ("lat", 6, 1, 1, "LAT", "long"), ("LAT", 6, 2, 5, "LAT", "long"), ("lat", 19, 3, 3, "lat_2", "double"), ("lat", 19, 5, 5, "lat_2", "double"),
+            ("x", 2, 3, 3, "x", "long"), ("x", 1, 1, 1, "x_2", "date"),
+        ],
+        key=repr,
+    )
+    assert ("batch", "batch_v2", 3, 1, 1) in rows(c.aliases().select("old_name", "name", "field_id", "first_pos", "last_pos"))
+
+
+def test_read_consistent_loses_no_field(spark, tmp_path):
+    spark.range(3).selectExpr("id a").write.parquet(f"{tmp_path}/x")
+    spark.range(3).selectExpr("id a", "id + 7 b").write.parquet(f"{tmp_path}/y")
+    with pytest.raises(ValueError, match="several fields for b"):
+        read_consistent(spark, [str(tmp_path)], {"a": "b"})
