@@ -13,7 +13,7 @@ import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,15 +145,16 @@ class DriftCatalogue:
 
     def casts(self) -> DataFrame:
         """One consistent schema per data set and how each old form gets into it: (dataset_id, old_name, old_type, name, type, cast_sql,
-        field_id, first_pos, last_pos), a row for each run of versions in which a column had that form. Types widen to the narrowest type that
+        field_id, first_pos, last_pos), a row for each run of versions in which a column had that form. Structs are built from the fields inside
+        them by the same rules; a struct that is another type elsewhere becomes JSON text. Types widen to the narrowest type that
         holds all forms, else to string.
 
-        Fields are followed from version to version by the rules of ``changes``, not by their names alone, so a name that is used
+        Fields are followed from version to version by the rules of ``changes``, with ids kept in mind through files without, so a name that is used
         again for another field has a column of its own; a field that comes back (by id, or by name where one has no id) gets its old column.
         Columns have the latest name of their field; where two differ in letter case at most, the one that is gone longer, else the younger,
         has a suffix. A data set streams through one task, which holds its fields and their forms.
         """
-        spans = self.lifespans().filter(F.size("field.outer") == 0)
+        spans = self.lifespans()
         events = spans.select(
             "dataset_id",
             "field",
@@ -190,7 +191,8 @@ class _Column:
         self.target = self.target_type = ""
 
     def take(self, field: dict) -> None:
-        self.name, self.type, self.id, self.last = field["name"], field["type"], field["id"], None
+        self.name, self.type, self.last = field["name"], field["type"], None
+        self.id = self.id if field["id"] is None else field["id"]
         self.types.add(self.type)
 
     def form(self) -> tuple:
@@ -215,7 +217,7 @@ class _DataSet:
             for f in ended:
                 if len(f["outer"]) == depth:
                     outer = old[place(f)].outer
-                    levels.setdefault(id(outer), (outer, [], []))[1].append(f)
+                    levels.setdefault(id(outer), (outer, [], []))[1].append({**f, "id": old[place(f)].id})
             for f in started:
                 if len(f["outer"]) == depth:
                     outer = self.at[tuple(f["outer"])] if depth else self.root
@@ -383,8 +385,8 @@ def read_consistent(spark: SparkSession, paths: list[str], aliases: dict[str, st
 
     ``aliases`` maps old top-level names to present ones. Files are grouped by
     their declared schema, each group is read with it, its columns get their
-    present names and the widest of their types, and columns a group lacks are
-    null. Values that don't fit a type become null (``try_cast``). ``paths`` may be
+    present names and the widest of their types, inside structs too, and columns a
+    group lacks are null. Values that don't fit a type become null (``try_cast``). ``paths`` may be
     directories; the distinct schemas, not the files, make up the plan. An empty
     list raises ``ValueError``, and so does a file of which two fields would get one
     name, as when an old name is used again for another field; columns come in the order of their first sighting.
@@ -395,28 +397,46 @@ def read_consistent(spark: SparkSession, paths: list[str], aliases: dict[str, st
     if not groups:
         raise ValueError("no Parquet files to read")
     aliases = aliases or {}
-    final: dict[str, list[str]] = {}
+    final: dict[str, list[T.DataType]] = {}
     for schema, files in groups:
         names = [aliases.get(f.name, f.name) for f in schema.fields]
         if twice := sorted({n for n in names if names.count(n) > 1}):
             raise ValueError(f"{files[0]} has several fields for {', '.join(twice)}; its names need aliases of their own")
-        for f in schema.fields:
-            final.setdefault(aliases.get(f.name, f.name), []).append(f.dataType.simpleString())
-    long_names = {"int": "integer", "bigint": "long", "smallint": "short", "tinyint": "byte"}
-    short = {v: k for k, v in long_names.items()}
-    kinds = {}
-    for name, types in final.items():
-        wide = wider_type.func([long_names.get(t, "timestamp" if t == "timestamp_ntz" and len(set(types)) > 1 else t) for t in types])
-        kinds[name] = short.get(wide, wide)
+        for f, name in zip(schema.fields, names):
+            final.setdefault(name, []).append(f.dataType)
+    kinds = {name: _widest(types) for name, types in final.items()}
     parts = []
     for schema, files in groups:
-        df, have = spark.read.schema(schema).parquet(*files), {}
-        for f in schema.fields:
-            name = aliases.get(f.name, f.name)
-            value = F.col(f"`{f.name}`")
-            have[name] = value if f.dataType.simpleString() == kinds[name] else value.try_cast(kinds[name])
+        df = spark.read.schema(schema).parquet(*files)
+        have = {aliases.get(f.name, f.name): _fitted(F.col(_quoted(f.name)), f.dataType, kinds[aliases.get(f.name, f.name)]) for f in schema.fields}
         parts.append(df.select([have[n].alias(n) if n in have else F.lit(None).cast(k).alias(n) for n, k in kinds.items()]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _widest(types: list[T.DataType]) -> T.DataType:
+    """The type that holds all of ``types``; structs have the fields of all of them."""
+    if all(isinstance(t, T.StructType) for t in types):
+        inner: dict[str, list[T.DataType]] = {}
+        for t in types:
+            for f in t.fields:
+                inner.setdefault(f.name, []).append(f.dataType)
+        return T.StructType([T.StructField(n, _widest(k)) for n, k in inner.items()])
+    if all(t == types[0] for t in types):
+        return types[0]
+    names = [t.simpleString() for t in types]
+    long_names = {"int": "integer", "bigint": "long", "smallint": "short", "tinyint": "byte"}
+    wide = wider_type.func([long_names.get(t, "timestamp" if t == "timestamp_ntz" and len(set(names)) > 1 else t) for t in names])
+    return next((t for t, n in zip(types, names) if long_names.get(n, n) == wide), None) or T.DataType.fromDDL(wide)
+
+
+def _fitted(value: Column, have: T.DataType, want: T.DataType) -> Column:
+    if isinstance(want, T.StructType):
+        own = {f.name: f.dataType for f in have.fields}
+        parts = [_fitted(value.getField(f.name), own[f.name], f.dataType) if f.name in own else F.lit(None).cast(f.dataType) for f in want.fields]
+        return F.when(value.isNotNull(), F.struct(*[p.alias(f.name) for p, f in zip(parts, want.fields)])) if parts else value
+    if have == want:
+        return value
+    return F.to_json(value) if isinstance(have, T.StructType) and isinstance(want, T.StringType) else value.try_cast(want)

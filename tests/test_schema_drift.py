@@ -140,3 +140,30 @@ def test_read_consistent_loses_no_field(spark, tmp_path):
     spark.range(3).selectExpr("id a", "id + 7 b").write.parquet(f"{tmp_path}/y")
     with pytest.raises(ValueError, match="several fields for b"):
         read_consistent(spark, [str(tmp_path)], {"a": "b"})
+
+
+def test_casts_inside_structs(spark):
+    ident = lambda n: {"parquet.field.id": n}
+    df = files(
+        spark,
+        (None, struct(("s", struct(("town", "long", ident(2)), ("gone", "date"), ("in", struct(("p", "integer"))))), ("o", struct(("k", "long"))))),
+        (None, struct(("place", struct(("in", struct(("q'", "double"), ("p", "long"))), ("city", "string", ident(2))), {"former_name": "s"}), ("o", "string"))),
+    )
+    casts = {r["old_name"] + str(r["first_pos"]): r for r in DriftCatalogue(df).casts().collect()}
+    assert {k: r["name"] for k, r in casts.items()} == {"s1": "place", "place2": "place", "o1": "o", "o2": "o"}
+    assert casts["s1"]["type"] == casts["place2"]["type"] == "struct<gone:date,in:struct<p:long,`q'`:double>,city:string>"
+    one = spark.sql("SELECT named_struct('town', 5L, 'gone', DATE '2020-01-01', 'in', named_struct('p', 3)) s, named_struct('k', 1L) o UNION ALL SELECT NULL, NULL")
+    two = spark.sql("""SELECT named_struct('in', named_struct("q'", 0.5D, 'p', 4L), 'city', 'x') place, 'y' o""")
+    got = one.selectExpr(casts["s1"]["cast_sql"], casts["o1"]["cast_sql"]).union(two.selectExpr(casts["place2"]["cast_sql"], casts["o2"]["cast_sql"]))
+    assert got.select("place").schema["place"].dataType.simpleString() == "struct<gone:date,in:struct<p:bigint,q':double>,city:string>"
+    assert rows(got.selectExpr("place.gone IS NULL", "place.in.p", "place.in.`q'`", "place.city", "o")) == sorted(
+        [(False, 3, None, "5", '{"k":1}'), (True, None, None, None, None), (True, 4, 0.5, "x", "y")], key=repr
+    )
+
+
+def test_read_consistent_inside_structs(spark, tmp_path):
+    spark.range(2).selectExpr("id", "named_struct('a', cast(id as int), 'b', 'x') s").write.parquet(f"{tmp_path}/x")
+    spark.range(2).selectExpr("id", "if(id = 0, named_struct('c', id, 'a', id + 5), null) s").write.parquet(f"{tmp_path}/y")
+    got = read_consistent(spark, [str(tmp_path)])
+    assert dict(got.dtypes)["s"] == "struct<a:bigint,b:string,c:bigint>"
+    assert rows(got.selectExpr("id", "s.a", "s.b", "s.c", "s is null")) == sorted([(0, 0, "x", None, False), (1, 1, "x", None, False), (0, 5, None, 0, False), (1, None, None, None, True)], key=repr)
