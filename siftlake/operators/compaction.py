@@ -152,11 +152,13 @@ def compact_files(spark: SparkSession, source: str | list[str], target: str, clu
 
     The exact histogram of code cells (at most 2^12 rows on the driver) gives each
     cell its place; a cell that spans several files is dealt out over them by a
-    row hash, so a hot cell splits too. Rows go straight to their partition. The
+    row hash, so a hot cell splits too. Rows go straight to their partition. Files may
+    hold different columns; all are kept, null where a file lacks them, and schemas that
+    Spark can't merge raise its error. The
     digests of source and target must be equal, else ``RuntimeError`` is raised and
     the source stays the only valid copy. Returns files and digests.
     """
-    df = spark.read.parquet(*([source] if isinstance(source, str) else source))
+    df = spark.read.option("mergeSchema", "true").parquet(*([source] if isinstance(source, str) else source))
     values = {c: F.unix_micros(F.col(c).cast("timestamp")) if t in ("timestamp", "timestamp_ntz", "date") else F.col(c) for c, t in df.dtypes if c in cluster_by}
     if missing := [c for c in cluster_by if c not in values]:
         raise ValueError(f"no such column: {', '.join(missing)}")

@@ -77,3 +77,14 @@ def test_compact_files(spark, tmp_path):
     assert len(sizes) == 6 and max(sizes) < 1.3 * min(sizes)
     with pytest.raises(ValueError, match="no such column"):
         compact_files(spark, f"{tmp_path}/src", f"{tmp_path}/no", ["w"])
+
+
+def test_compact_files_keeps_columns_of_any_file(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/src/a")
+    spark.range(5, 9).selectExpr("id", "id * 2 extra").coalesce(1).write.parquet(f"{tmp_path}/src/b")
+    got = compact_files(spark, [f"{tmp_path}/src/a", f"{tmp_path}/src/b"], f"{tmp_path}/dst", ["id"])
+    out = spark.read.parquet(f"{tmp_path}/dst")
+    assert got["rows"] == 9 and sorted((r["id"], r["extra"]) for r in out.collect()) == [(i, None if i < 5 else i * 2) for i in range(9)]
+    spark.range(3).selectExpr("cast(id as string) id").write.parquet(f"{tmp_path}/src/c")
+    with pytest.raises(Exception, match="(?i)merge"):
+        compact_files(spark, [f"{tmp_path}/src/a", f"{tmp_path}/src/c"], f"{tmp_path}/no", ["id"])
