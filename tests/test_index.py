@@ -308,3 +308,18 @@ def test_eager_and_distributed(spark, context, tmp_path, monkeypatch):
     same(context, path, "id = 40", 1)
     same(context, path, "id IN (41, 43)", 2)
     same(context, path, "id > 190 OR id = 2", 2)
+
+
+def test_sql_subqueries_see_all_files(spark, context, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(64).selectExpr("id", "id % 8 v").repartitionByRange(8, "id").write.parquet(path)
+    context.index.create.indexBy("id").parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("plain_t")
+    for q in (
+        "SELECT id FROM {t} WHERE id = 5 AND v > (SELECT avg(v) FROM {t})",
+        "SELECT id FROM {t} WHERE id = 5 AND v < (SELECT max(id) FROM {t})",
+        "SELECT id, (SELECT count(*) FROM {t} WHERE id > 40) n FROM {t} WHERE id < 3",
+        "SELECT id FROM {t} WHERE id = 5 AND v < (SELECT max(id) FROM {t} WHERE v > (SELECT min(v) FROM {t}))",
+    ):
+        assert rows(context.index.sql(q.format(t="sub_t"), sub_t=path)) == rows(spark.sql(q.format(t="plain_t"))) != []
+    assert scanned(context.index.sql("SELECT id FROM sub_t WHERE id = 5", sub_t=path)) == 1
