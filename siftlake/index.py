@@ -78,8 +78,8 @@ class IndexedDataFrame:
     their own files.
     """
 
-    def __init__(self, index: LoadedIndex, base: DataFrame, steps: tuple = ()):
-        self._index, self._base, self._steps = index, base, steps
+    def __init__(self, index: LoadedIndex, base: DataFrame, steps: tuple = (), options: dict[str, str] | None = None):
+        self._index, self._base, self._steps, self._options = index, base, steps, options or {}
         self._plain: DataFrame | None = None
         self._pruned: DataFrame | None = None
 
@@ -112,7 +112,7 @@ class IndexedDataFrame:
                 self._pruned = self._replay(self._base.where(F.col("_metadata.file_path").isin([f for f, _ in kept])))
             else:
                 spark = self._index.spark
-                few = spark.read.schema(self._index.schema).option("basePath", self._index.table_path).parquet(*[p for _, p in kept])
+                few = spark.read.schema(self._index.schema).option("basePath", self._index.table_path).options(**self._options).parquet(*[p for _, p in kept])
                 self._pruned = self._replay(few)
         return self._pruned
 
@@ -139,7 +139,7 @@ class IndexedDataFrame:
         if name.startswith("__"):
             raise AttributeError(name)
         if name in _REPLAYED:
-            return lambda *args, **kwargs: IndexedDataFrame(self._index, self._base, (*self._steps, (name, args, kwargs)))
+            return lambda *args, **kwargs: IndexedDataFrame(self._index, self._base, (*self._steps, (name, args, kwargs)), self._options)
         if name in self.columns:
             return self.plain[name]
         return getattr(self.pruned, name)
@@ -312,7 +312,7 @@ class DataFrameIndexManager:
         eager = conf.flag("spark.sql.index.parquet.filter.eagerLoading")
         index = self._metastore.load(spec, lambda at: LoadedIndex(self._spark, at, eager))
         base = self._spark.read.schema(index.schema).options(**self._options).parquet(index.table_path)
-        return IndexedDataFrame(index, base)
+        return IndexedDataFrame(index, base, options=dict(self._options))
 
     def load(self, path: str) -> IndexedDataFrame:
         """The indexed table at ``path``."""

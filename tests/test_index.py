@@ -323,3 +323,16 @@ def test_sql_subqueries_see_all_files(spark, context, tmp_path):
     ):
         assert rows(context.index.sql(q.format(t="sub_t"), sub_t=path)) == rows(spark.sql(q.format(t="plain_t"))) != []
     assert scanned(context.index.sql("SELECT id FROM sub_t WHERE id = 5", sub_t=path)) == 1
+
+
+def test_reader_options_hold_for_many_files(spark, context, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(64).selectExpr("id", "id % 2 p").repartitionByRange(8, "id").write.partitionBy("p").parquet(path)
+    context.index.create.indexBy("id").parquet(path)
+    glob = "part-0000[0-3]*"
+    want = rows(spark.read.option("pathGlobFilter", glob).parquet(path).filter("id >= 16"))
+    assert 0 < len(want) < 48
+    for most in (1_000, 1):
+        monkeypatch.setattr("siftlake.index.MOST_NAMED", most)
+        df = context.index.option("pathGlobFilter", glob).parquet(path).filter("id >= 16")
+        assert len(df.kept_files()) > 1 and rows(df.pruned) == want
