@@ -109,6 +109,13 @@ FILTERS: dict[str, tuple] = {
     "idx_bloom_eq": ("spread", ("l_partkey", "l_returnflag"), "l_partkey = 155"),
     "idx_partition_prune": ("by_status", ("o_orderkey",), "o_orderstatus = 'F'"),
     "idx_partition_and_index": ("by_status", ("o_orderkey",), "o_orderstatus = 'O' AND o_orderkey < 400"),
+    # the same predicates over the whole table, without a range of keys beside them
+    "idx_eq_int_whole": ("lineitem", (), "l_linenumber = 7"),
+    "idx_eq_string_whole": ("lineitem", (), "l_returnflag = 'R'"),
+    "idx_not_in_whole": ("lineitem", (), "l_returnflag NOT IN ('A', 'N')"),
+    "idx_is_null_whole": ("lineitem", (), "line_or_null IS NULL"),
+    "idx_is_not_null_whole": ("lineitem", (), "line_or_null IS NOT NULL"),
+    "idx_null_safe_eq_whole": ("lineitem", (), "line_or_null <=> NULL", "line_or_null IS NOT DISTINCT FROM NULL"),
 }
 
 
@@ -212,6 +219,52 @@ def idx_sql(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def idx_projection_whole(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")).pruned
+
+
+def idx_overwrite_whole(spark: SparkSession, d: str) -> DataFrame:
+    ctx, at = context(spark), _stage(spark, d, "lineitem")
+    ctx.index.create.mode("overwrite").indexBy("l_orderkey").parquet(at)
+    ctx.index.create.mode("ignore").indexBy("l_partkey").parquet(at)
+    ctx.index.create.mode("overwrite").indexBy("l_suppkey", "l_orderkey").parquet(at)
+    _STAGED[spark.sparkContext.applicationId, at, "last"] = "overwritten"
+    return ctx.index.parquet(at).filter("l_suppkey = 3").select(*LINE).pruned
+
+
+def idx_join_whole(spark: SparkSession, d: str) -> DataFrame:
+    orders = indexed(spark, d, "orders").filter("o_date >= DATE '1996-01-01'")
+    return indexed(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "o_orderdate")
+
+
+def idx_self_join_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Two scans of one whole table with different filters in one plan."""
+    a = indexed(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("returned_order"))
+    b = indexed(spark, d, "lineitem").filter("l_linenumber = 7").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("long_order"))
+    return a.join(b, "part").select("part", "returned_order", "long_order")
+
+
+def idx_agg_whole(spark: SparkSession, d: str) -> DataFrame:
+    df = indexed(spark, d, "lineitem")
+    return df.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_suppkey").alias("supp"), F.max("l_shipdate").alias("last_ship"))
+
+
+def idx_window_whole(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey")
+    df = indexed(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
+    return df.pruned.withColumn("rank", F.row_number().over(w)).filter("rank <= 2").select("l_orderkey", "l_partkey", "rank")
+
+
+def idx_sql_whole(spark: SparkSession, d: str) -> DataFrame:
+    indexed(spark, d, "lineitem")
+    indexed(spark, d, "orders")
+    return context(spark).index.sql(
+        "SELECT o_orderpriority, count(*) AS n FROM idx_line JOIN idx_order ON l_orderkey = o_orderkey WHERE o_date < DATE '1997-01-01' GROUP BY o_orderpriority",
+        idx_line=_stage(spark, d, "lineitem"),
+        idx_order=_stage(spark, d, "orders"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _filtered(*spec[:3]) for name, spec in FILTERS.items()},
     **{
@@ -219,6 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         for f in (
             idx_projection, idx_dict_eq, idx_bitmap_int, idx_all_columns, idx_catalog_table, idx_create_if_not_exists, idx_overwrite,
             idx_stats_rollup, idx_join, idx_self_join, idx_agg, idx_window, idx_union, idx_sql,
+            idx_projection_whole, idx_overwrite_whole, idx_join_whole, idx_self_join_whole, idx_agg_whole, idx_window_whole, idx_sql_whole,
         )
     },
 }
@@ -243,4 +297,11 @@ SQL: dict[str, str] = {
     "idx_window": "SELECT l_orderkey, l_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey) AS rank FROM lineitem WHERE l_orderkey < 500) WHERE rank <= 2",
     "idx_union": "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (5, 7777)",
     "idx_sql": "SELECT o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey < 2500 AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL",
+    "idx_projection_whole": "SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem",
+    "idx_overwrite_whole": f"SELECT {_L} FROM lineitem WHERE l_suppkey = 3",
+    "idx_join_whole": "SELECT l_orderkey, l_linenumber, o_custkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1996-01-01'",
+    "idx_self_join_whole": "SELECT a.l_partkey AS part, a.l_orderkey AS returned_order, b.l_orderkey AS long_order FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_returnflag = 'R' AND b.l_linenumber = 7",
+    "idx_agg_whole": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_suppkey) AS BIGINT) AS supp, max(l_shipdate) AS last_ship FROM lineitem GROUP BY ALL",
+    "idx_window_whole": "SELECT l_orderkey, l_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey) AS rank FROM lineitem) WHERE rank <= 2",
+    "idx_sql_whole": "SELECT o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL",
 }
