@@ -6,7 +6,9 @@ import html
 import re
 import unicodedata
 
-_TAG = re.compile(r"<(?:!--.*?--|[/!?]?[A-Za-z][^<>]*)>", re.S)
+#: Well-formed markup only: comments, declarations, and tags whose attributes have values or are HTML's that need none; any other ``<`` is punctuation.
+_ATTRIBUTE = r"""\s+(?:[A-Za-z_:@][\w:.@-]*\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>`]+)|(?:allowfullscreen|async|autofocus|autoplay|checked|compact|controls|default|defer|disabled|hidden|ismap|itemscope|loop|multiple|muted|nomodule|noshade|novalidate|nowrap|open|readonly|required|reversed|selected)(?=[\s/>]))"""
+_TAG = re.compile(rf"<(?:!--.*?--|!doctype\b[^<>]{{0,256}}|\?[A-Za-z][\w-]*(?:{_ATTRIBUTE})*\s*\?|/[A-Za-z][\w:.-]*\s*|[A-Za-z][\w:.-]*(?:{_ATTRIBUTE})*\s*/?)>", re.S | re.I)
 _BLOCK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|tbody|thead|h[1-6]|hr|pre|blockquote|section|article|dd|dt|dl)\b", re.I)
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})|(.))", re.S)
 _WORD = re.compile(r"[^\W_]+")

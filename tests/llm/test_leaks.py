@@ -99,3 +99,10 @@ def test_search(spark):
     assert (2, 1) not in want
     assert rows(leaked_items(d, e, block_items=3)) == rows(got)
     assert leaked_items(d.limit(0), e).count() == leaked_items(d, e.limit(0)).count() == 0
+
+
+def test_only_markup_is_dropped():
+    assert words("for i <n the whole passage stays in -> place") == "for i n the whole passage stays in place".split()
+    assert words("if a <b then all of\nthis is kept\n> quoted") == "if a b then all of this is kept quoted".split()
+    tags = """<a href="x.y/z?q=1&r=2" title='two words'>one</a> <br/><img src=p.png alt="" /> <!-- no --><!DOCTYPE html><input disabled type=text>two<?xml version="1.0"?> <pre\nclass="c">three</pre>"""
+    assert words(tags) == ["one", "two", "three"]
