@@ -1,7 +1,7 @@
 """Membership filters of a column within a row group (numpy).
 
-Integers, dates and timestamps are 64-bit numbers here, so int and long hash
-alike; strings stay strings. A filter may answer "maybe" wrongly, never "no".
+Integers, dates and timestamps are numbers here; strings stay strings. A filter may
+answer "maybe" wrongly, never "no".
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 
 from siftlake.functions import bitmaps
 
@@ -20,18 +20,17 @@ FALSE_SHARE, MOST_VALUES = 0.03, 1 << 20
 KINDS = ("bloom", "dict")
 
 
-def hashes(values) -> np.ndarray:
-    """64-bit hashes of an array of int64 or str, the same in every process."""
-    if isinstance(values, np.ndarray) and values.dtype.kind == "i":
-        return pd.util.hash_array(values.astype(np.int64))
-    return pd.util.hash_array(np.asarray(values, object), categorize=False)
+#: Seed of Spark's ``xxhash64``, and the bytes of a number that it hashes; strings are hashed as UTF-8.
+SEED, WIDTH = 42, {"int": 4, "date": 4, "bigint": 8, "timestamp": 8, "timestamp_ntz": 8, "string": 0}
 
 
 class BloomFilter:
+    """Membership of 64-bit hashes, which Spark's ``xxhash64`` takes of the values."""
+
     kind = "bloom"
 
-    def __init__(self, bits: np.ndarray, probes: int):
-        self.bits, self.probes = bits, probes
+    def __init__(self, bits: np.ndarray, probes: int, width: int):
+        self.bits, self.probes, self.width = bits, probes, width
 
     @staticmethod
     def _places(h: np.ndarray, probes: int, size: int) -> np.ndarray:
@@ -40,30 +39,34 @@ class BloomFilter:
         return (low[None, :] + steps * high[None, :]) % np.uint64(size)
 
     @classmethod
-    def of(cls, values, rows: int) -> BloomFilter:
-        """Filter for a row group of ``rows`` rows, of which ``values`` are the distinct ones."""
+    def of(cls, hashed: np.ndarray, rows: int, kind: str) -> BloomFilter:
+        """Filter for a row group of ``rows`` rows of type ``kind`` from the hashes of its values."""
         if rows <= 0:
             raise ValueError(f"a bloom filter needs a positive number of rows, not {rows}")
         n = min(rows, MOST_VALUES)
         size = max(64, math.ceil(-n * math.log(FALSE_SHARE) / math.log(2) ** 2 / 64) * 64)
         probes = max(1, round(size / n * math.log(2)))
         bits = np.zeros(size, bool)
-        if len(values):
-            bits[cls._places(hashes(values), probes, size).ravel()] = True
-        return cls(bits, probes)
+        for one in cls._places(np.unique(hashed).astype(np.uint64), probes, size):
+            bits[one] = True
+        return cls(bits, probes, WIDTH[kind])
 
     def might_contain(self, value) -> bool:
-        if value is None:
+        """A value of a type that the column doesn't have is never ruled out."""
+        if value is None or isinstance(value, str) != (self.width == 0):
+            return True
+        if self.width and not -(1 << 8 * self.width - 1) <= value < 1 << 8 * self.width - 1:
             return True
-        one = np.array([value], np.int64) if isinstance(value, int) else np.array([value], object)
-        return bool(self.bits[self._places(hashes(one), self.probes, len(self.bits)).ravel()].all())
+        plain = value.to_bytes(self.width, "little", signed=True) if self.width else value.encode()
+        h = np.array([xxhash.xxh64_intdigest(plain, SEED)], np.uint64)
+        return bool(self.bits[self._places(h, self.probes, len(self.bits)).ravel()].all())
 
     def dump(self) -> bytes:
-        return bytes([self.probes]) + np.packbits(self.bits).tobytes()
+        return bytes([self.probes, self.width]) + np.packbits(self.bits).tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> BloomFilter:
-        return cls(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).astype(bool), data[0])
+        return cls(np.unpackbits(np.frombuffer(data, np.uint8, offset=2)).astype(bool), data[0], data[1])
 
 
 class ValueSet:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame as ClassicDataFrame
 
 from siftlake.functions.filters import KINDS
 from siftlake.plans.predicate import TRUE, Node, scan_conditions
 from siftlake.plans.pruning import LoadedIndex
-from siftlake.sources.index_build import build_index
+from siftlake.plans.scan import MARK
 from siftlake.sources.metastore import METASTORE_LOCATION, IndexLocation, Metastore
-from siftlake.sources.tables import check_source, resolve_path, resolve_table, spec_for
+from siftlake.sources.tables import check_source, format_of, resolve_path, resolve_table, spec_for
 
 MODES = ("append", "overwrite", "error", "ignore")
-#: Kept files up to which they are named in a predicate on the file path; more are read as an explicit list.
-MOST_NAMED = 1_000
 
 
 class Const:
@@ -64,105 +65,92 @@ class IndexConf:
         return option
 
 
-#: Methods that give a DataFrame again and are replayed over the pruned scan.
-_REPLAYED = {"filter", "where", "select", "selectExpr", "withColumn", "withColumns", "withColumnRenamed", "withColumnsRenamed", "drop", "alias"}
-
-
-class IndexedDataFrame:
+class IndexedDataFrame(ClassicDataFrame):
     """A DataFrame over an indexed table that waits with the scan until it is used.
 
-    ``filter``, ``select`` and the like are collected; any other method or property
-    runs on the DataFrame with the files that the index can't rule out, which
-    ``pruned`` gives. Filters stay in place, so a row is never wrong, only skipped
-    early. Nothing is shared between two of these, so both sides of a self-join keep
+    ``filter``, ``select`` and the like are collected; whatever else is called runs on
+    the scan of the files that the index can't rule out, which ``pruned`` gives.
+    Filters stay in place, so a row is never wrong, only skipped early. Options of the
+    reader and ids of columns are those of an ordinary read, however many files are
+    kept. Nothing is shared between two of these, so both sides of a self-join keep
     their own files.
     """
 
-    def __init__(self, index: LoadedIndex, base: DataFrame, steps: tuple = (), options: dict[str, str] | None = None):
-        self._index, self._base, self._steps, self._options = index, base, steps, options or {}
-        self._plain: DataFrame | None = None
-        self._pruned: DataFrame | None = None
+    def __new__(cls, *args, **kwargs):
+        return object.__new__(cls)
+
+    def __init__(self, index: LoadedIndex, options: dict[str, str], steps: tuple = (), shape: DataFrame | None = None):
+        super().__init__(None, index.spark)
+        self._index, self._options, self._steps = index, options, steps
+        # a scan of no files: enough to resolve columns and to see which filters reach it
+        self._root = index.scan([], options) if shape is None else shape
+        self._shape = self._replay(self._root)
 
     def _replay(self, df: DataFrame) -> DataFrame:
         for name, args, kwargs in self._steps:
             df = getattr(df, name)(*args, **kwargs)
         return df
 
-    @property
+    @cached_property
     def plain(self) -> DataFrame:
         """The same query over all files."""
-        if self._plain is None:
-            self._plain = self._replay(self._base)
-        return self._plain
+        return self._replay(self._index.scan(None, self._options, self._root))
 
     def kept_files(self) -> list[tuple[str, str]] | None:
         """Files that are read, as ``LoadedIndex.kept_files`` gives them, or None for all of them."""
-        conditions = scan_conditions(self.plain, self._index.table_path, list(self._index.columns))
-        if conditions is None or any(_says_nothing(c) for c in conditions):
-            return None
-        return self._index.kept_files(Node("or", tuple(conditions)))
+        return _kept(self._index, self._shape, self._options[MARK])
 
-    @property
+    @cached_property
     def pruned(self) -> DataFrame:
-        if self._pruned is None:
-            kept = self.kept_files()
-            if kept is None:
-                self._pruned = self.plain
-            elif len(kept) <= MOST_NAMED:
-                self._pruned = self._replay(self._base.where(F.col("_metadata.file_path").isin([f for f, _ in kept])))
-            else:
-                spark = self._index.spark
-                few = spark.read.schema(self._index.schema).option("basePath", self._index.table_path).options(**self._options).parquet(*[p for _, p in kept])
-                self._pruned = self._replay(few)
-        return self._pruned
+        kept = self.kept_files()
+        return self.plain if kept is None else self._replay(self._index.scan([p for _, p in kept], self._options, self._root))
 
     @property
-    def schema(self):
-        return self.plain.schema
+    def _jdf(self):
+        return self.pruned._jdf
 
-    @property
-    def columns(self) -> list[str]:
-        return self.plain.columns
+    @_jdf.setter
+    def _jdf(self, value) -> None:
+        """The constructor of all DataFrames sets it; here it follows from the files."""
 
     @property
-    def dtypes(self):
-        return self.plain.dtypes
+    def schema(self):
+        return self._shape.schema
 
     def __getitem__(self, item):
         if isinstance(item, (list, tuple)):
             return self.select(*item)
         if isinstance(item, Column):
             return self.filter(item)
-        return self.plain[item]
+        return self._shape[item]
 
     def __getattr__(self, name: str):
-        if name.startswith("__"):
+        if name.startswith("_"):
             raise AttributeError(name)
-        if name in _REPLAYED:
-            return lambda *args, **kwargs: IndexedDataFrame(self._index, self._base, (*self._steps, (name, args, kwargs)), self._options)
-        if name in self.columns:
-            return self.plain[name]
-        return getattr(self.pruned, name)
-
-    def __dir__(self):
-        return dir(self.plain)
+        return getattr(self._shape, name)
 
     def __repr__(self) -> str:
         return f"IndexedDataFrame[{', '.join(f'{n}: {t}' for n, t in self.dtypes)}]"
 
 
-# joins and set operations take one on their right side too
-def _right_side(name: str):
-    def call(self: IndexedDataFrame, other, *args, **kwargs):
-        other = other.pruned if isinstance(other, IndexedDataFrame) else other
-        return getattr(self.pruned, name)(other, *args, **kwargs)
+def _replayed(name: str):
+    def call(self: IndexedDataFrame, *args, **kwargs):
+        return IndexedDataFrame(self._index, self._options, (*self._steps, (name, args, kwargs)), self._root)
 
     call.__name__ = name
     return call
 
 
-for _name in ("join", "crossJoin", "union", "unionAll", "unionByName", "intersect", "intersectAll", "exceptAll", "subtract"):
-    setattr(IndexedDataFrame, _name, _right_side(_name))
+# methods that give a DataFrame over the same scan again
+for _name in ("filter", "where", "select", "selectExpr", "withColumn", "withColumns", "withColumnRenamed", "withColumnsRenamed", "drop", "alias"):
+    setattr(IndexedDataFrame, _name, _replayed(_name))
+
+
+def _kept(index: LoadedIndex, df: DataFrame, mark: str) -> list[tuple[str, str]] | None:
+    conditions = scan_conditions(df, mark, list(index.columns))
+    if conditions is None or any(_says_nothing(c) for c in conditions):
+        return None
+    return index.kept_files(Node("or", tuple(conditions)))
 
 
 def _says_nothing(tree) -> bool:
@@ -203,9 +191,9 @@ class CreateIndexCommand:
         self._manager._build(path, spec, self._columns, mode)
 
     def _createIndex(self, path: str) -> None:
-        check_source(self._manager._source)
+        kind = check_source(self._manager._source)
         path = resolve_path(self._manager._spark, path)
-        self._run(path, spec_for(path, False))
+        self._run(path, spec_for(path, False, kind))
 
     createIndex = _createIndex
 
@@ -214,8 +202,8 @@ class CreateIndexCommand:
         self._createIndex(path)
 
     def table(self, tableName: str) -> None:
-        found = self._manager._table(tableName)
-        self._run(found, spec_for(found, True))
+        found, kind = self._manager._table(tableName)
+        self._run(found, spec_for(found, True, kind))
 
 
 class ExistsIndexCommand:
@@ -226,9 +214,9 @@ class ExistsIndexCommand:
 
     def _existsIndex(self, path: str) -> bool:
         try:
-            check_source(self._manager._source)
+            kind = check_source(self._manager._source)
             path = resolve_path(self._manager._spark, path)
-            return self._manager._metastore.exists(spec_for(path, False))
+            return self._manager._metastore.exists(spec_for(path, False, kind))
         except (OSError, ValueError):
             return False
 
@@ -239,7 +227,8 @@ class ExistsIndexCommand:
         return self._existsIndex(path)
 
     def table(self, tableName: str) -> bool:
-        return self._manager._metastore.exists(spec_for(self._manager._table(tableName), True))
+        found, kind = self._manager._table(tableName)
+        return self._manager._metastore.exists(spec_for(found, True, kind))
 
 
 class DeleteIndexCommand:
@@ -249,8 +238,8 @@ class DeleteIndexCommand:
         self._manager = manager
 
     def _deleteIndex(self, path: str) -> None:
-        check_source(self._manager._source)
-        self._manager._metastore.delete(spec_for(resolve_path(self._manager._spark, path), False))
+        kind = check_source(self._manager._source)
+        self._manager._metastore.delete(spec_for(resolve_path(self._manager._spark, path), False, kind))
 
     deleteIndex = _deleteIndex
 
@@ -259,7 +248,8 @@ class DeleteIndexCommand:
         self._deleteIndex(path)
 
     def table(self, tableName: str) -> None:
-        self._manager._metastore.delete(spec_for(self._manager._table(tableName), True))
+        found, kind = self._manager._table(tableName)
+        self._manager._metastore.delete(spec_for(found, True, kind))
 
 
 def _column_name(c) -> str:
@@ -294,53 +284,60 @@ class DataFrameIndexManager:
             self.option(key, value)
         return self
 
-    def _table(self, name: str) -> str:
+    def _table(self, name: str) -> tuple[str, str]:
         found = resolve_table(self._spark, name)
-        check_source(found.provider)
-        return found.path.rstrip("/")
+        kind = check_source(found.provider)
+        return found.path.rstrip("/"), kind
 
     def _build(self, path: str, spec: IndexLocation, columns: list[str] | None, mode: str) -> None:
         conf = IndexConf(self._spark)
         option, tasks = conf.filter_option, int(conf.get("spark.sql.index.partitions"))
         root = self._metastore.files.qualified(path).rstrip("/")
-        self._metastore.create(spec, mode, lambda at: build_index(self._spark, root, at, columns, option, self._options, tasks))
+        support = format_of(spec.identifier)
+        self._metastore.create(spec, mode, lambda at: support.create_index(self._spark, root, at, columns, option, self._options, tasks))
 
     def _load(self, path: str, spec: IndexLocation) -> IndexedDataFrame:
         conf = IndexConf(self._spark)
         if conf.flag("spark.sql.index.createIfNotExists") and not self._metastore.exists(spec):
             self._build(path, spec, None, "error")
         eager = conf.flag("spark.sql.index.parquet.filter.eagerLoading")
-        index = self._metastore.load(spec, lambda at: LoadedIndex(self._spark, at, eager))
-        base = self._spark.read.schema(index.schema).options(**self._options).parquet(index.table_path)
-        return IndexedDataFrame(index, base, options=dict(self._options))
+        support = format_of(spec.identifier)
+        index = self._metastore.load(spec, lambda at: support.load_index(self._spark, at, eager))
+        return IndexedDataFrame(index, {**self._options, MARK: uuid.uuid4().hex})
 
     def load(self, path: str) -> IndexedDataFrame:
         """The indexed table at ``path``."""
-        check_source(self._source)
+        kind = check_source(self._source)
         path = resolve_path(self._spark, path)
-        return self._load(path, spec_for(path, False))
+        return self._load(path, spec_for(path, False, kind))
 
     def parquet(self, path: str) -> IndexedDataFrame:
         return self.format(Const.PARQUET_SOURCE).load(path)
 
     def table(self, tableName: str) -> IndexedDataFrame:
         """The indexed persistent table."""
-        found = self._table(tableName)
-        return self._load(found, spec_for(found, True))
+        found, kind = self._table(tableName)
+        return self._load(found, spec_for(found, True, kind))
 
     def sql(self, query: str, **paths: str) -> DataFrame:
         """Run ``query`` with each name of ``paths`` as a view of the indexed table there,
         skipping files by the filters that reach its scans."""
         loaded = {name: self.parquet(path) for name, path in paths.items()}
-        for name, df in loaded.items():
-            df.plain.createOrReplaceTempView(name)
-        plain = self._spark.sql(query)
-        for name, df in loaded.items():
-            conditions = scan_conditions(plain, df._index.table_path, list(df._index.columns))
-            if conditions and not any(_says_nothing(c) for c in conditions):
-                kept = df._index.kept_files(Node("or", tuple(conditions)))
-                df._base.where(F.col("_metadata.file_path").isin([f for f, _ in kept])).createOrReplaceTempView(name)
-        return self._spark.sql(query)
+        spark = self._spark
+        # temporary views of the same names are the user's and come back afterwards
+        views = {x.name.lower() for x in spark.catalog.listTables() if x.isTemporary}
+        mine = {name: spark.table(name) if name.lower() in views else None for name in paths}
+        try:
+            for name, df in loaded.items():
+                df._root.createOrReplaceTempView(name)
+            shape = spark.sql(query)
+            for name, df in loaded.items():
+                kept = _kept(df._index, shape, df._options[MARK])
+                df._index.scan(None if kept is None else [p for _, p in kept], df._options, df._root).createOrReplaceTempView(name)
+            return spark.sql(query)
+        finally:
+            for name, view in mine.items():
+                spark.catalog.dropTempView(name) if view is None else view.createOrReplaceTempView(name)
 
     @property
     def create(self) -> CreateIndexCommand:

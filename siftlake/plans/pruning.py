@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from siftlake.functions.filters import load_filter
 from siftlake.plans.predicate import Leaf, Node, can_be, leaves, row_can_be
+from siftlake.plans.scan import scan_of
 from siftlake.sources.metastore import Files
 
 #: Row groups up to which a loaded index is kept by the executors.
@@ -33,6 +34,7 @@ class LoadedIndex:
         self.numbers = {n: i for i, n in enumerate(self.columns)}
         self.partition_columns: list[str] = meta["partition_columns"]
         self.filter: str | None = meta["filter"]
+        self.folder: bool = meta["folder"]
         self.files_total, self.blocks_total = meta["files"], meta["blocks"]
         self.files = spark.read.parquet(f"{at}/files")
         self.stats = spark.read.parquet(f"{at}/stats")
@@ -50,6 +52,11 @@ class LoadedIndex:
             self.filters = self.filters.cache()
             self.filters.count()
 
+    def scan(self, paths: list[str] | None, options: dict[str, str], like: DataFrame | None = None) -> DataFrame:
+        """The table from ``paths`` only, or from all its files if None."""
+        root = self.table_path if self.folder else None
+        return scan_of(self.spark, self.schema, self.partition_columns, [self.table_path] if paths is None else paths, root, options, like)
+
     def _load_filters(self, columns) -> None:
         """Filters of columns to the driver, each column once; their size was checked when the index was built."""
         if self.filters is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -15,10 +16,51 @@ PARQUET_NAMES = {"parquet", "parquetformat", "org.apache.spark.sql.execution.dat
 OTHER_FORMATS = {"json", "csv", "orc", "text", "avro", "binaryfile", "xml"}
 
 
+class FormatSupport(Protocol):
+    """What a table format must offer to be indexed. Index folders are made, marked and removed by the metastore."""
+
+    #: lower-case letters and digits; a part of the folder of an index
+    identifier: str
+
+    def create_index(self, spark: SparkSession, root: str, to: str, columns: list[str] | None, option: str | None, options: dict[str, str], tasks: int) -> None:
+        """Write the index of the table at ``root`` into the folder ``to``."""
+
+    def load_index(self, spark: SparkSession, at: str, eager: bool):
+        """The index in folder ``at``, as ``plans.pruning.LoadedIndex``."""
+
+
+class ParquetSupport:
+    identifier = "parquet"
+
+    def create_index(self, spark, root, to, columns, option, options, tasks) -> None:
+        from siftlake.sources.index_build import build_index
+
+        build_index(spark, root, to, columns, option, options, tasks)
+
+    def load_index(self, spark, at, eager):
+        from siftlake.plans.pruning import LoadedIndex
+
+        return LoadedIndex(spark, at, eager)
+
+
+_SUPPORTED: dict[str, FormatSupport] = {"parquet": ParquetSupport()}
+_NAMES: dict[str, str] = dict.fromkeys(PARQUET_NAMES, "parquet")
+
+
+def register_format(support: FormatSupport, *names: str) -> None:
+    """Make a format known by its identifier and ``names``; the last one registered under a name holds."""
+    _SUPPORTED[support.identifier] = support
+    _NAMES.update(dict.fromkeys([support.identifier, *(n.lower() for n in names)], support.identifier))
+
+
+def format_of(identifier: str) -> FormatSupport:
+    return _SUPPORTED[identifier]
+
+
 def check_source(name: str) -> str:
-    """``parquet`` for its spellings; other names fail, as there is no index for them."""
-    if name.lower() in PARQUET_NAMES:
-        return "parquet"
+    """Identifier of the format of that name (``parquet`` for its spellings); names without support fail."""
+    if found := _NAMES.get(name.lower()):
+        return found
     raise ValueError(f"Failed to find data source: {name.upper() if name.lower() in OTHER_FORMATS else name}")
 
 
@@ -49,5 +91,5 @@ def resolve_table(spark: SparkSession, name: str) -> CatalogTable:
     return CatalogTable(name, rows["Location"], rows.get("Provider", ""))
 
 
-def spec_for(path: str, catalog: bool) -> IndexLocation:
-    return IndexLocation(path, "catalog" if catalog else "source", "parquet")
+def spec_for(path: str, catalog: bool, identifier: str = "parquet") -> IndexLocation:
+    return IndexLocation(path, "catalog" if catalog else "source", identifier)

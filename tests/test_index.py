@@ -325,14 +325,110 @@ def test_sql_subqueries_see_all_files(spark, context, tmp_path):
     assert scanned(context.index.sql("SELECT id FROM sub_t WHERE id = 5", sub_t=path)) == 1
 
 
-def test_reader_options_hold_for_many_files(spark, context, tmp_path, monkeypatch):
+def test_reader_options_and_column_ids_hold(spark, context, tmp_path):
     path = str(tmp_path / "t")
     spark.range(64).selectExpr("id", "id % 2 p").repartitionByRange(8, "id").write.partitionBy("p").parquet(path)
     context.index.create.indexBy("id").parquet(path)
     glob = "part-0000[0-3]*"
     want = rows(spark.read.option("pathGlobFilter", glob).parquet(path).filter("id >= 16"))
     assert 0 < len(want) < 48
-    for most in (1_000, 1):
-        monkeypatch.setattr("siftlake.index.MOST_NAMED", most)
-        df = context.index.option("pathGlobFilter", glob).parquet(path).filter("id >= 16")
-        assert len(df.kept_files()) > 1 and rows(df.pruned) == want
+    got = context.index.option("pathGlobFilter", glob).parquet(path)
+    df = got.filter(got["id"] >= 16).filter(got.id < 1000)
+    assert len(df.kept_files()) > 1 and rows(df) == want
+
+
+def test_many_files_are_kept(spark, context, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(200).repartitionByRange(200, "id").write.parquet(path)
+    spark.conf.set(ON, "false")
+    context.index.create.indexBy("id").parquet(path)
+    df = context.index.parquet(path)
+    some = df.filter(df["id"] >= 20).filter(df.id != 70)
+    assert len(some.kept_files()) == 179 and scanned(some.pruned) == 179
+    assert rows(some) == [(i,) for i in sorted({*range(20, 200)} - {70}, key=lambda i: repr((i,)))]
+
+
+def test_it_is_a_dataframe_whatever_its_columns_are_called(spark, context, tmp_path):
+    from pyspark.sql import DataFrame
+
+    path = str(tmp_path / "t")
+    spark.range(20).selectExpr("id", "id % 3 `count`", "id `join`", "id `pruned`", "id `filter`").repartitionByRange(4, "id").write.parquet(path)
+    context.index.create.indexByAll().parquet(path)
+    df = context.index.parquet(path).filter("id > 10")
+    assert isinstance(df, DataFrame) and df.count() == 9 and df.groupBy("count").count().count() == 3
+    assert df.select(df["count"], df["join"]).columns == ["count", "join"] and df.filter("`filter` = 12").count() == 1
+    plain = spark.read.parquet(path)
+    assert rows(plain.join(df, "id")) == rows(plain.join(plain.filter("id > 10"), "id"))
+    assert rows(plain.exceptAll(df)) == rows(plain.filter("id <= 10")) and {f.rsplit("/", 1)[1] for f in df.inputFiles()} == {f.rsplit("/", 1)[1] for f, _ in df.kept_files()}
+    with pytest.raises(AttributeError):
+        _ = df.nothing_of_that_name
+
+
+@pytest.mark.parametrize("option", [None, "bloom", "dict"])
+def test_letter_case_of_columns_differs_between_files(spark, context, tmp_path, option):
+    path = str(tmp_path / "t")
+    for i, name in enumerate(["id", "ID", "Id", "id"]):
+        spark.range(10 * i, 10 * i + 5).selectExpr(f"id AS {name}", f"if(id % 5 = 0, null, cast(id as string)) AS {'s' if i % 2 else 'S'}").coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set(ON, str(option is not None).lower())
+    spark.conf.set(TYPE, option or "bloom")
+    context.index.create.indexByAll().parquet(path)
+    for p in ("id = 12", "ID IN (3, 31)", "s = '23'", "S IS NULL", "id > 20", "id IS NULL", "s IS NULL AND id < 5"):
+        same(context, path, p, 4 if "NULL" in p and "<" not in p else 2)
+
+
+def test_metadata_of_fields_is_merged(spark, context, tmp_path):
+    path = str(tmp_path / "t")
+    told = lambda **m: F.col("id").alias("id", metadata=m)
+    spark.range(3).select(told(a="1", b="1")).coalesce(1).write.parquet(path + "/p=1")
+    spark.range(3).select(told(b="2", c="2"), F.lit(1).alias("x")).coalesce(1).write.parquet(path + "/p=2")
+    context.index.create.indexBy("id").parquet(path)
+    df = context.index.parquet(path)
+    assert df.schema["id"].metadata == {"a": "1", "b": "2", "c": "2"} and df.columns == ["id", "x", "p"]
+    assert rows(df.filter("id = 2")) == [(2, 1, 2), (2, None, 1)]
+
+
+def test_hashes_of_literals_are_those_of_spark(spark):
+    from siftlake.functions.filters import BloomFilter, ValueSet
+
+    df = spark.sql("SELECT -7 AS i, 1234567890123 AS l, 'h\u00e9' AS s, DATE '1969-01-02' AS d, TIMESTAMP_NTZ '2020-01-01 00:00:01' AS n")
+    for (c, value), kind in zip({"i": -7, "l": 1234567890123, "s": "h\u00e9", "d": -364, "n": 1577836801000000}.items(), ("int", "bigint", "string", "date", "timestamp_ntz")):
+        import numpy as np
+
+        h = np.array([df.select(F.xxhash64(c)).first()[0]])
+        f = BloomFilter.load(BloomFilter.of(h, 1000, kind).dump())
+        assert f.might_contain(value) and not any(f.might_contain(x) for x in (("x", "y") if kind == "string" else (5, 6)))
+        assert f.might_contain(5 if kind == "string" else "x") and f.might_contain(None)
+    assert ValueSet.of(["a"], 1).might_contain(5)
+
+
+def test_formats_can_be_registered(spark, context, tmp_path):
+    from siftlake.sources.tables import ParquetSupport, register_format
+
+    class Other(ParquetSupport):
+        identifier = "otherkind"
+
+    path = str(tmp_path / "t")
+    spark.range(9).write.parquet(path)
+    register_format(Other(), "Other.Kind")
+    context.index.create.indexByAll()._manager.format("other.KIND")
+    manager = context.index.format("other.kind")
+    manager.create.indexByAll().createIndex(path)
+    assert manager.exists.existsIndex(path) and not context.index.exists.parquet(path)
+    assert context.index.format("otherkind").load(path).filter("id = 3").count() == 1
+
+
+def test_sql_leaves_views_of_the_user_alone(spark, context, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(64).repartitionByRange(8, "id").write.parquet(path)
+    context.index.create.indexBy("id").parquet(path)
+    spark.range(3).createOrReplaceTempView("mine")
+    assert rows(context.index.sql("SELECT a.id FROM mine a JOIN other b ON a.id = b.id WHERE a.id > 60 AND b.id < 63", mine=path, other=path)) == [(61,), (62,)]
+    assert spark.table("mine").count() == 3 and not spark.catalog.tableExists("other")
+
+
+def test_index_partitions_are_those_of_the_option(spark, context, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(40).repartitionByRange(10, "id").write.parquet(path)
+    spark.conf.set("spark.sql.index.partitions", "3")
+    context.index.create.indexByAll().parquet(path)
+    same(context, path, "id = 7", 2)
