@@ -94,7 +94,7 @@ class DriftCatalogue:
 
     def lifespans(self) -> DataFrame:
         """(dataset_id, fid, first_pos, last_pos, field): versions from which to which a field of one name, place, id and type ran without a gap."""
-        return gap_islands(self.field_versions(), ["dataset_id", "fid"], "version", block=8192)
+        return gap_islands(self.field_versions(), ["dataset_id", "fid"], "version")
 
     def log(self) -> DataFrame:
         """Starts and endings: (dataset_id, version, event, field), of which an ending stands at the first version without the field."""

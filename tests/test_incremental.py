@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftlake.operators.incremental import IntervalLedger, claimed, ledger_intervals, merge, new_or_changed, subtract
+from siftlake.functions.intervals import dyadic, merge, subtract
+from siftlake.operators.incremental import IntervalLedger, claimed, ledger_intervals, new_or_changed
 
 spans = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 9)).map(lambda x: (x[0], x[0] + x[1])))
 numbers = lambda xs: {n for a, b in xs for n in range(a, b + 1)}
@@ -59,6 +60,59 @@ def test_replay_against_brute_force(spark):
     assert claimed(a.limit(0), u).count() == claimed(a, u.limit(0)).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(-100, 400), st.integers(0, 300))
+def test_dyadic_blocks(lo, n):
+    blocks = dyadic(lo, lo + n - 1)
+    assert sorted(x for level, k in blocks for x in range(k << level, (k + 1) << level)) == list(range(lo, lo + n))
+
+
+def test_intervals_do_not_depend_on_ranges(spark):
+    arrivals = [(i, 1, f"/f{i % 7}", i % 3, 10**12, at(i), at((i * 37) % 500 if i % 5 == 0 else i), 0, 0) for i in range(300)]
+    runs = [(k, 1, at(60 * k), None, "succeeded") for k in range(1, 10)]
+    a, u = spark.createDataFrame(arrivals, ARRIVALS), spark.createDataFrame(runs, RUNS)
+    got = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append((rows(ledger_intervals(claimed(a, u))), rows(new_or_changed(claimed(a, u)))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] and len(got[0][0]) > 20
+
+
+def test_of_two_racing_runs_one_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    both = Barrier(2)
+
+    def once(name):
+        ledger = IntervalLedger(spark, str(tmp_path / "ledger"))
+
+        def work(df):
+            both.wait()
+            return df.withColumn("by", F.lit(name))
+
+        try:
+            return ledger.run(spark.range(10), "id", work)
+        except RuntimeError as e:
+            return "again" if "run again" in str(e) else str(e)
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(map(str, pool.map(once, "ab"))) == ["10", "again"]
+    ledger = IntervalLedger(spark, str(tmp_path / "ledger"))
+    assert ledger.output().count() == 10 and ledger.processed() == [(0, 9)] and ledger.run(spark.range(10), "id", lambda df: df) == 0
+
+
+def test_processed_row_groups_are_not_read(spark, tmp_path):
+    ledger = IntervalLedger(spark, str(tmp_path / "ledger"))
+    ledger.run(spark.range(100).filter("id != 40"), "id", lambda df: df)
+    plan = ledger.unprocessed(spark.range(0).select("id"), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "40" in plan and "99" in plan
+    # negative numbers, repeated rows and nulls
+    more = spark.createDataFrame([(-5,), (-5,), (40,), (None,), (7,)], "id bigint")
+    assert ledger.run(more, "id", lambda df: df) == 3 and ledger.processed() == [(-5, -5), (0, 99)]
+
+
 def test_ledger_survives_failure(spark, tmp_path):
     ledger = IntervalLedger(spark, str(tmp_path / "ledger"))
     at_first = spark.range(10).withColumn("__lo", F.lit(1))
@@ -77,4 +131,8 @@ def test_ledger_survives_failure(spark, tmp_path):
     assert rows(ledger.output().select("id")) == rows(later.select("id"))
     assert IntervalLedger(spark, str(tmp_path / "ledger")).processed() == [(0, 14)]
     scattered = spark.range(15, 600, 3).withColumn("__lo", F.lit(1))
-    assert ledger.run(scattered, "id", lambda df: df) == 195  # more gaps than a list of conditions
+    assert ledger.run(scattered, "id", lambda df: df) == 195
+    # more holes than a list of conditions
+    assert ledger.run(spark.range(0, 620, 2).withColumn("__lo", F.lit(1)), "id", lambda df: df) == len({*range(0, 620, 2)} - {*range(15), *range(15, 600, 3)})
+    assert ledger.run(spark.range(620).withColumn("__lo", F.lit(1)), "id", lambda df: df) == len({*range(620)} - {*range(15), *range(15, 600, 3), *range(0, 620, 2)})
+    assert ledger.processed() == [(0, 619)]

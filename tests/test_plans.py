@@ -46,7 +46,7 @@ def test_gap_islands_across_blocks(spark):
     r = random.Random(2)
     data = sorted({(g, r.randrange(120)) for g in (1, 2) for _ in range(150)} | {(1, x) for x in range(40, 90)})
     df = spark.createDataFrame([(*x, x[1] * 10) for x in data], "g int, p int, extra int")
-    got = rows(gap_islands(df, ["g"], "p", block=8))
+    got = rows(gap_islands(df, ["g"], "p", ranges=9))
     want = []
     for g, p in data:
         if (g, p - 1) not in data:
@@ -83,3 +83,13 @@ def test_shared_helpers(spark):
     assert rows(cut(df)) == rows(df)
     assert row_count_within(df, 10) and not row_count_within(df, 9)
     assert rows(sized_join(df, spark.range(5), "id", limit=2)) == [(i,) for i in range(5)]
+
+
+def test_scans_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_ordered_scan_against_loop(spark)
+        test_next_marked_against_loop(spark)
+        test_gap_islands_across_blocks(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
