@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits per dimension; with three dimensions a code has 48 bits.
-BITS = 16
+#: Bits per dimension; with three dimensions a code has 60 bits.
+BITS = 20
 
 
 def hilbert_codes(coordinates: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -44,24 +44,38 @@ def hilbert_codes(coordinates: np.ndarray, bits: int = BITS) -> np.ndarray:
     return code
 
 
-def scaled(value: Column, low, high, bits: int = BITS) -> Column:
-    """``value`` between ``low`` and ``high`` as a coordinate; null counts as ``low``."""
+def coordinates(values: np.ndarray, bounds: list[list[float]], bits: int = BITS) -> np.ndarray:
+    """Values of each dimension (columns; not-a-number for null) as whole numbers in ``[0, 2^bits)``.
+
+    ``bounds`` has rising quantiles of each dimension. A value's coordinate is its place among
+    them, in between by proportion, so dimensions are spread evenly however skewed
+    their values are, and greater values never have lesser coordinates. Null is 0.
+    """
     top = (1 << bits) - 1
-    if low is None or high is None or low == high:
-        return F.lit(0)
-    share = (value.cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low))
-    return F.greatest(F.lit(0), F.least(F.lit(top), F.coalesce(F.floor(share * top), F.lit(0)))).cast("int")
+    out = np.zeros(values.shape, np.int64)
+    for i, known in enumerate(bounds):
+        xs, first = np.unique(np.asarray(known, np.float64), return_index=True)
+        if len(xs) > 1:
+            share = np.interp(values[:, i], xs, first / (len(known) - 1))
+            out[:, i] = np.where(np.isnan(values[:, i]), 0, share * top)
+    return out
+
+
+def quantile_bounds(df: DataFrame, values: list[Column], pieces: int = 1024) -> list[list[float]]:
+    """``pieces`` + 1 approximate quantiles of each value, in one pass; these few numbers come to the driver."""
+    steps = F.array(*[F.lit(i / pieces) for i in range(pieces + 1)])
+    got = df.agg(*[F.percentile_approx(v.cast("double"), steps, 10_000).alias(f"q{i}") for i, v in enumerate(values)]).first()
+    return [list(got[f"q{i}"] or []) for i in range(len(values))]
 
 
-def hilbert_column(coordinates: list[Column], bits: int = BITS) -> Column:
-    """Code column of up to 62 / bits coordinates, computed batch by batch."""
-    if len(coordinates) * bits > 62:
-        raise ValueError(f"{len(coordinates)} dimensions of {bits} bits exceed 62 bits")
-    if len(coordinates) == 1:
-        return coordinates[0].cast("long")
+def hilbert_column(values: list[Column], bounds: list[list[float]], bits: int) -> Column:
+    """Code column of up to 60 / bits values, computed batch by batch."""
+    if len(values) * bits > 60:
+        raise ValueError(f"{len(values)} dimensions of {bits} bits exceed 60 bits")
 
     @F.pandas_udf("bigint")
     def codes(points: pd.DataFrame) -> pd.Series:
-        return pd.Series(hilbert_codes(points.to_numpy(np.int64), bits))
+        places = coordinates(points.to_numpy(np.float64), bounds, bits)
+        return pd.Series(places[:, 0] if places.shape[1] == 1 else hilbert_codes(places, bits))
 
-    return codes(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(coordinates)]))
+    return codes(F.struct(*[v.cast("double").alias(f"c{i}") for i, v in enumerate(values)]))

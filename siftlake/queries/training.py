@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.operators.compaction import compact_files, compaction_plan, plan_digest
@@ -14,6 +14,7 @@ from siftlake.operators.schema_drift import DriftCatalogue
 from siftlake.operators.snapshots import snapshot_changes
 from siftlake.plans.shared import cut, fresh_dir
 from siftlake.queries.tables import table
+from siftlake.sources.footers import list_files
 
 
 def _drift(spark: SparkSession, d: str) -> DriftCatalogue:
@@ -49,14 +50,27 @@ def p2_digest(spark: SparkSession, d: str) -> DataFrame:
     return plan_digest(plan, table(spark, d, "file_status"), table(spark, d, "block_metadata"), table(spark, d, "block_locations"))
 
 
-def p2_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    """Scatter ``events`` over many small files, rewrite them as few, and read the result."""
+def _rewritten(spark: SparkSession, d: str, cluster_by: list[str]) -> DataFrame:
+    """``events`` scattered over 64 small files in four directories, rewritten as twelve, and read."""
     source, target = fresh_dir(spark, "scattered"), fresh_dir(spark, "compacted")
-    table(spark, d, "events").repartition(64).write.parquet(source)
-    compact_files(spark, source, target, ["ts", "user_id", "value"], rows_per_file=250_000)
+    events = table(spark, d, "events")
+    events.withColumn("bucket", F.pmod("event_id", F.lit(4))).repartition(16).write.partitionBy("bucket").parquet(source)
+    size = list_files(spark, [source]).agg(F.sum("length")).first()[0]
+    compact_files(spark, source, target, cluster_by, target_bytes=-(-size // 10))
     return spark.read.parquet(target)
 
 
+def p2_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    return _rewritten(spark, d, ["ts", "user_id", "value"]).drop("bucket")
+
+
+def p2_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Per directory the rewritten files, and how many of them begin before the one before has ended (equal values aside)."""
+    spans = _rewritten(spark, d, ["ts"]).groupBy("bucket", F.col("_metadata.file_name").alias("file")).agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    before = F.lag("high").over(Window.partitionBy("bucket").orderBy("low", "high"))
+    return spans.withColumn("before", before).groupBy("bucket").agg(F.count("*").alias("files"), F.count_if(F.col("low") < F.col("before")).alias("overlaps"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(table(spark, d, "snapshot_files"))
 
@@ -89,7 +103,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_lifespans, p1_casts, p2_found, p2_plan, p2_digest, p2_rewrite, p3_found, p3_counts,
+        p1_found, p1_lifespans, p1_casts, p2_found, p2_plan, p2_digest, p2_rewrite, p2_layout, p3_found, p3_counts,
         p4_found, p4_intervals, p5_found, p5_hosts,
     )
 }

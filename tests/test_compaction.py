@@ -88,3 +88,53 @@ def test_compact_files_keeps_columns_of_any_file(spark, tmp_path):
     spark.range(3).selectExpr("cast(id as string) id").write.parquet(f"{tmp_path}/src/c")
     with pytest.raises(Exception, match="(?i)merge"):
         compact_files(spark, [f"{tmp_path}/src/a", f"{tmp_path}/src/c"], f"{tmp_path}/no", ["id"])
+
+
+def spans(spark, path, column):
+    out = spark.read.parquet(path).groupBy(F.col("_metadata.file_path")).agg(F.min(column).alias("a"), F.max(column).alias("b"), F.count("*").alias("n")).collect()
+    return sorted((r.a, r.b, r.n) for r in out)
+
+
+def test_files_are_ranges_of_codes_however_skewed(spark, tmp_path):
+    """An outlier far away, and a value that a third of the rows have."""
+    df = spark.range(6000).selectExpr("if(id = 77, 1000000000000, if(id % 3 = 0, 500, id)) AS k", "id")
+    df.repartition(12).write.parquet(f"{tmp_path}/src")
+    got = compact_files(spark, f"{tmp_path}/src", f"{tmp_path}/dst", ["k"], rows_per_file=600)
+    files = spans(spark, f"{tmp_path}/dst", "k")
+    assert got["files"] == len(files) == 10 and max(n for *_, n in files) < 1.3 * 600
+    assert all(a[1] <= b[0] for a, b in zip(files, files[1:])) and sum(a <= 500 <= b for a, b, _ in files) >= 3
+
+
+def test_directories_are_compacted_each_and_large_files_left(spark, tmp_path):
+    src, dst = f"{tmp_path}/src", f"{tmp_path}/dst"
+    for name, n, parts in (("k=a b", 4000, 9), ("k=c%d+/x", 500, 3), ("alone", 50, 1), ("_hidden", 50, 2)):
+        spark.range(n).selectExpr("id", "id % 10 AS v", "cast(null as int) AS dir").repartition(parts).write.parquet(f"{src}/{name}")
+    spark.range(200_000).selectExpr("id", "id AS v", "1 AS dir").coalesce(1).write.mode("append").parquet(f"{src}/k=a b")
+    got = compact_files(spark, src, dst, ["v", "id"], target_bytes=12_000, small=200_000)
+    assert got["rows"] == 4500 and got["directories"] == 2
+    for name, n in (("k=a b", 4000), ("k=c%d+/x", 500)):
+        assert rows(spark.read.parquet(f"{dst}/{name}").select("id", "v")) == rows(spark.range(n).selectExpr("id", "id % 10 AS v"))
+    assert sorted(p.name for p in (tmp_path / "dst").iterdir()) == ["k=a b", "k=c%d+"]
+    assert compact_files(spark, f"{src}/alone", f"{tmp_path}/no", ["id"])["files"] == 0
+
+
+def test_plan_refines_hot_directories(spark, monkeypatch):
+    import siftlake.operators.compaction as compaction
+
+    f = spark.range(500).select(
+        F.col("id").alias("file_id"), F.lit(1).cast("bigint").alias("dataset_id"), F.concat(F.lit("/a/"), F.when(F.col("id") < 400, "hot").otherwise((F.col("id") % 9).cast("string")), F.lit("/"), "id").alias("path"),
+        (F.lit(1000) + F.col("id") % 7).alias("length"), F.lit(False).alias("is_dir"), F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") * 3).alias("modification_time"),
+    )
+    _, g, b = tables(spark)
+    g = spark.range(500).selectExpr("id file_id", "0 block_no", "id % 11 row_count", "cast(null as map<string, struct<min_value: string>>) indexed_columns")
+    monkeypatch.setattr(compaction, "CELL_FILES", 16)
+    plan = compaction_plan(f, g, b.limit(0), target=20_000).collect()
+    assert len(plan) == 500
+    for name in {r.directory for r in plan}:
+        line = sorted((r.row_offset, r.row_count, r.code) for r in plan if r.directory == name)
+        at = 0
+        for offset, n, _ in line:
+            assert offset == at
+            at += n
+        held = sorted((r.output_no, r.code) for r in plan if r.directory == name)
+        assert [c for _, c in held] == sorted(c for _, c in held)
