@@ -45,3 +45,27 @@ def both(a: bytes, b: bytes) -> np.ndarray:
         common = np.frombuffer(a, np.uint8, offset=1) & np.frombuffer(b, np.uint8, offset=1)
         return np.flatnonzero(np.unpackbits(common, bitorder="little"))
     return np.intersect1d(offsets(a), offsets(b), assume_unique=True)
+
+
+class Bitmap:
+    """A set of ordinals as compressed bitmaps of its chunks."""
+
+    def __init__(self, ordinals: np.ndarray):
+        """From distinct ordinals in rising order."""
+        self.chunks: dict[int, bytes] = {}
+        if len(ordinals):
+            number = ordinals // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(ordinals)]
+            for a, b in zip(cuts, cuts[1:]):
+                self.chunks[int(number[a])] = compress(ordinals[a:b] - number[a] * CHUNK)
+
+    def _against(self, other: Bitmap, how) -> np.ndarray:
+        found = [how(bits, other.chunks.get(k, _LIST)) + k * CHUNK for k, bits in self.chunks.items()]
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
+    def and_not(self, other: Bitmap) -> np.ndarray:
+        """Ordinals in this set and not in the other, rising."""
+        return self._against(other, and_not)
+
+    def both(self, other: Bitmap) -> np.ndarray:
+        return self._against(other, both)

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from siftlake.functions import bitmaps
-from siftlake.operators.snapshots import extend_ordinals, snapshot_changes
+from siftlake.operators.snapshots import snapshot_changes, snapshot_ordinals
 
 SCHEMA = "dataset_id bigint, snapshot_no int, delivery_no int, path string, length bigint, modification_time bigint, ordinal int, chunk int"
 
@@ -45,11 +45,18 @@ def test_against_brute_force(spark, monkeypatch):
         t = r.choice([1_600_000_000, 1_600_000_000_123, 1_600_000_001])
         data.append((r.choice([1, 1, 1, 2, 3]), r.choice([1, 2, 4, 7]), r.choice([1, 1, 2]), f"/f{r.randrange(60)}", r.choice([None, 5, 6]), t))
     assert rows(snapshot_changes(listing(spark, data))) == brute(data)
-    # many chunks per data set
+    # many stripes per data set
     import siftlake.operators.snapshots as snapshots
 
-    monkeypatch.setattr(snapshots, "CHUNK", bitmaps.CHUNK)
+    monkeypatch.setattr(snapshots, "STRIPE_ROWS", 50)
     assert rows(snapshot_changes(listing(spark, data + data))) == brute(data)
+    # many batches per stripe, and a dictionary from before
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        known = snapshot_ordinals(listing(spark, data[:400]))
+        assert rows(snapshot_changes(listing(spark, data), known)) == brute(data)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_chunks_are_crossed(spark):
@@ -69,11 +76,12 @@ def test_spelling_nulls_and_nothing(spark):
 
 
 def test_ordinals_persist(spark):
-    keys = spark.createDataFrame([(1, "b"), (1, "d"), (2, "a"), (1, "b")], "dataset_id int, path string")
-    first = extend_ordinals(keys, ["dataset_id", "path"])
-    assert rows(first) == [(1, "b", 0), (1, "d", 1), (2, "a", 0)]
-    more = spark.createDataFrame([(1, "a"), (1, "d"), (3, "z")], "dataset_id int, path string")
-    assert rows(extend_ordinals(more, ["dataset_id", "path"], first)) == [(1, "a", 2), (1, "b", 0), (1, "d", 1), (2, "a", 0), (3, "z", 0)]
+    of = lambda paths: listing(spark, [(d, 1, 1, p, 1, 10**12) for d, p in paths])
+    pick = lambda df: rows(df.select("dataset_id", "path", "ordinal"))
+    first = snapshot_ordinals(of([(1, "b"), (1, "d"), (2, "a"), (1, "b")]))
+    assert pick(first) == [(1, "b", 0), (1, "d", 1), (2, "a", 0)]
+    more = snapshot_ordinals(of([(1, "a"), (1, "d"), (3, "z")]), first)
+    assert pick(more) == [(1, "a", 2), (1, "b", 0), (1, "d", 1), (2, "a", 0), (3, "z", 0)]
 
 
 def test_bitmaps_against_sets():
@@ -85,3 +93,8 @@ def test_bitmaps_against_sets():
         assert bitmaps.and_not(x, y).tolist() == sorted({*a.tolist()} - {*b.tolist()})
         assert bitmaps.both(x, y).tolist() == sorted({*a.tolist()} & {*b.tolist()})
         assert len(x) <= bitmaps.CHUNK // 8 + 1
+    big = [np.unique(r.integers(0, 100_000, n)) for n in (0, 50, 30_000, 60_000)]
+    for a in big:
+        for b in big:
+            x, y = bitmaps.Bitmap(a), bitmaps.Bitmap(b)
+            assert x.and_not(y).tolist() == np.setdiff1d(a, b).tolist() and x.both(y).tolist() == np.intersect1d(a, b).tolist()
