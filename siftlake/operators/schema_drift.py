@@ -9,8 +9,11 @@ lifespans. Their starts and endings are the log from which each change follows.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,30 +81,49 @@ class DriftCatalogue:
             .select("file_id", "x.*")
         )
         order = ["modification_time", "file_id"]
-        turns = ordered_scan(files, ["dataset_id"], order, lag=["sign"], seq="file_no").filter("prev_sign is null or prev_sign != sign")
+        #: all files in order, each with the schema of the one before
+        self.files = ordered_scan(files, ["dataset_id"], order, lag=["sign"], seq="file_no")
+        turns = self.files.filter("prev_sign is null or prev_sign != sign")
         #: files whose schema differs from the one before, numbered within the data set
         self.versions = cut(
             ordered_scan(turns, ["dataset_id"], order, seq="version"), "versions"
         )
 
-    def field_versions(self) -> DataFrame:
-        """(dataset_id, version, fid, field): each field of each version. A few schemas may be those of most versions, hence ``skew_join``."""
-        exploded = skew_join(self.versions.select("dataset_id", "version", "sign"), self.schemas, "sign").select(
-            "dataset_id", "version", F.explode("fields").alias("field")
-        )
+    def file_versions(self) -> DataFrame:
+        """(dataset_id, file_id, sign, version): the version that each file belongs to."""
+        turn = F.when(F.col("prev_sign").isNull() | (F.col("prev_sign") != F.col("sign")), 1).otherwise(0)
+        marked = self.files.withColumn("turn", turn)
+        counted = ordered_scan(marked, ["dataset_id"], ["file_no"], sums={"before": F.col("turn")}, seq="n")
+        return counted.select("dataset_id", "file_id", "sign", (F.col("before") + F.col("turn")).alias("version"))
+
+    @cached_property
+    def _fields(self) -> DataFrame:
+        """(sign, fid, field): each field of each distinct schema; ``fid`` stands for a name, place, id and type."""
         fid = F.xxhash64(F.concat_ws("\x1e", "field.outer", "field.step", "field.type", F.coalesce("field.former", F.lit("\x1d"))))
-        return exploded.select("dataset_id", "version", fid.alias("fid"), "field")
+        return cut(self.schemas.select("sign", F.explode("fields").alias("field")).select("sign", fid.alias("fid"), "field"), "fields")
+
+    def field_versions(self) -> DataFrame:
+        """(dataset_id, version, fid): each field of each version, as numbers only. A few schemas may be those of most versions, hence ``skew_join``."""
+        fids = self._fields.groupBy("sign").agg(F.collect_list("fid").alias("fids"))
+        return skew_join(self.versions.select("dataset_id", "version", "sign"), fids, "sign").select("dataset_id", "version", F.explode("fids").alias("fid"))
+
+    @cached_property
+    def _spans(self) -> DataFrame:
+        return cut(gap_islands(self.field_versions(), ["dataset_id", "fid"], "version"), "lifespans")
+
+    @cached_property
+    def _known(self) -> DataFrame:
+        return cut(self._fields.groupBy("fid").agg(F.first("field").alias("field")), "known-fields")
 
     def lifespans(self) -> DataFrame:
         """(dataset_id, fid, first_pos, last_pos, field): versions from which to which a field of one name, place, id and type ran without a gap."""
-        return gap_islands(self.field_versions(), ["dataset_id", "fid"], "version")
+        return skew_join(self._spans, self._known, "fid").select("dataset_id", "fid", "first_pos", "last_pos", "field")
 
-    def log(self) -> DataFrame:
-        """Starts and endings: (dataset_id, version, event, field), of which an ending stands at the first version without the field."""
-        spans = self.lifespans()
-        events = spans.select(
+    def _events(self) -> DataFrame:
+        """Starts and endings, as numbers only."""
+        events = self._spans.select(
             "dataset_id",
-            "field",
+            "fid",
             F.explode(
                 F.array(
                     F.struct(F.col("first_pos").alias("version"), F.lit("started").alias("event")),
@@ -109,7 +131,11 @@ class DriftCatalogue:
                 )
             ).alias("e"),
         )
-        return events.select("dataset_id", "e.version", "e.event", "field").filter("version > 1")
+        return events.select("dataset_id", "e.version", "e.event", "fid").filter("version > 1")
+
+    def log(self) -> DataFrame:
+        """Starts and endings: (dataset_id, version, event, field), of which an ending stands at the first version without the field."""
+        return skew_join(self._events(), self._known, "fid").drop("fid")
 
     def changes(self) -> DataFrame:
         """(dataset_id, file_id, field_name, change_kind): every field that a file adds, renames, removes or retypes against the file before it."""
@@ -117,7 +143,8 @@ class DriftCatalogue:
         # what a turn from one schema to another changes is told once, from the log of the first version that takes it
         first = at.groupBy("turn").agg(F.min(F.struct("dataset_id", "version")).alias("x")).select("turn", "x.*")
         side = lambda name: F.collect_list(F.when(F.col("event") == name, F.col("field"))).alias(name)
-        turns = self.log().join(first, ["dataset_id", "version"]).groupBy("turn").agg(side("ended"), side("started"))
+        of_turns = self._events().join(first, ["dataset_id", "version"]).join(self._known, "fid")
+        turns = of_turns.groupBy("turn").agg(side("ended"), side("started"))
         told = cut(turns.mapInArrow(_classify, "turn string, field_name string, change_kind string"), "turns")
         return skew_join(at.select("dataset_id", "file_id", "turn"), told, "turn").drop("turn")
 
@@ -292,7 +319,7 @@ def _settle(outer: _Column) -> None:
         if column.types == {"struct"}:
             column.target_type = _struct_type([(k.target, k.target_type) for k in column.inner])
         else:
-            column.target_type = "string" if "struct" in column.types else wider_type.func(sorted(column.types))
+            column.target_type = "string" if "struct" in column.types else wider_type(sorted(column.types))
 
 
 def _quoted(name: str) -> str:
@@ -356,15 +383,15 @@ def _casts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 NUMBERS = ["byte", "short", "integer", "long", "float", "double"]
 
 
-@F.udf(T.StringType())
 def wider_type(types: list[str]) -> str:
-    """Narrowest Spark type that holds all of ``types``. A handful per field of a data set, so a plain function is enough."""
+    """Narrowest Spark type that holds all values of all of ``types``, so that no cast to it fails or loses a digit."""
     kinds = sorted(set(types))
     if len(kinds) == 1:
         return kinds[0]
     if all(k in NUMBERS for k in kinds):
         if any(k in ("float", "double") for k in kinds):
-            return "double"
+            # a double holds no long of more than 53 bits
+            return "string" if "long" in kinds else "double"
         return max(kinds, key=NUMBERS.index)
     decimals = [k for k in kinds if k.startswith("decimal(")]
     if all(k in NUMBERS[:4] or k in decimals for k in kinds):
@@ -372,31 +399,78 @@ def wider_type(types: list[str]) -> str:
         sizes = [whole[k] if k in whole else tuple(map(int, k[8:-1].split(","))) for k in kinds]
         scale = max(s for _, s in sizes)
         digits = max(p - s for p, s in sizes)
-        return f"decimal({min(38, digits + scale)},{min(scale, 38 - min(38, digits))})"
-    if all(k in NUMBERS or k in decimals for k in kinds):
-        return "double"
+        return f"decimal({digits + scale},{scale})" if digits + scale <= 38 else "string"
     if set(kinds) == {"date", "timestamp"}:
         return "timestamp"
     return "string"
 
 
+def footer_status(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, file_id, dataset_id, modification_time, file_schema, sql_schema) of the Parquet files below ``paths``, from their footers, as one data set."""
+    from siftlake.sources.footers import file_schemas
+
+    found = file_schemas(spark, paths)
+    return cut(
+        found.select(
+            "path", F.xxhash64("path").alias("file_id"), F.lit(0).cast("long").alias("dataset_id"), F.unix_millis("modified").alias("modification_time"),
+            F.lit(None).cast("string").alias("file_schema"), F.col("schema").alias("sql_schema"),
+        ),
+        "footer-status",
+    )
+
+
 def read_consistent(spark: SparkSession, paths: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
     """Read Parquet files of differing schemas as one table.
 
-    ``aliases`` maps old top-level names to present ones. Files are grouped by
-    their declared schema, each group is read with it, its columns get their
-    present names and the widest of their types, inside structs too, and columns a
-    group lacks are null. Values that don't fit a type become null (``try_cast``). ``paths`` may be
-    directories; the distinct schemas, not the files, make up the plan. An empty
-    list raises ``ValueError``, and so does a file of which two fields would get one
-    name, as when an old name is used again for another field; columns come in the order of their first sighting.
+    The footers of the files make a catalogue, in the order of their times, and its ``casts`` tell how each
+    version of the schema gets into the one consistent schema: fields are followed through renames by
+    id and former name, a name used again has a column of its own, columns get the narrowest type
+    that holds all their values, inside structs too, and columns that a file lacks
+    are null. With ``aliases`` (old top-level name to present name) these names decide instead. ``paths`` may be
+    directories. Files that are read alike make one part of the plan; their names come to the
+    driver only where Spark's own listing needs them. An empty list raises ``ValueError``, and so does,
+    with ``aliases``, a file of which two fields would get one name; columns come in the order of their first sighting.
     """
-    from siftlake.sources.footers import file_schemas
+    status = footer_status(spark, paths)
+    if aliases:
+        groups = [(k, T.StructType.fromJson(json.loads(k)), files) for k, files in _grouped(status.select(F.col("sql_schema").alias("key"), "path"))]
+        return _read_by_names(spark, [(schema, files) for _, schema, files in groups], aliases)
+    catalogue = DriftCatalogue(status)
+    casts = cut(catalogue.casts(), "casts")
+    # one list of casts for each version; versions with the same list and schema are read together
+    each = casts.select(F.explode(F.sequence("first_pos", "last_pos")).alias("version"), F.struct("old_name", "name", "type", "cast_sql").alias("c"))
+    lists = each.groupBy("version").agg(F.to_json(F.array_sort(F.collect_list("c"))).alias("list"))
+    placed = catalogue.file_versions().join(lists, "version", "left").join(status.select("file_id", "path", "sql_schema"), "file_id")
+    keyed = placed.select(F.to_json(F.struct("sql_schema", "list")).alias("key"), "path", "version")
+    groups = [(json.loads(k), files) for k, files in _grouped(keyed)]
+    if not groups:
+        raise ValueError("no Parquet files to read")
+    final: dict[str, str] = {}
+    for key, _ in groups:
+        by_old = {c["old_name"]: c for c in json.loads(key.get("list") or "[]")}
+        for f in T.StructType.fromJson(json.loads(key["sql_schema"])).fields:
+            if f.name in by_old:
+                final.setdefault(by_old[f.name]["name"], by_old[f.name]["type"])
+    parts = []
+    for key, files in groups:
+        have = {c["name"]: c["cast_sql"].rsplit(" AS ", 1)[0] for c in json.loads(key.get("list") or "[]")}
+        df = spark.read.schema(T.StructType.fromJson(json.loads(key["sql_schema"]))).parquet(*files)
+        parts.append(df.select([F.expr(have.get(n, "NULL")).cast(t).alias(n) for n, t in final.items()]))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _grouped(keyed: DataFrame) -> Iterator[tuple[str, list[str]]]:
+    """Files of each ``key``, in the order of the smallest version, or path, of each. Spark sorts them; a group at a time is put together here."""
+    by = "version" if "version" in keyed.columns else "path"
+    first = keyed.groupBy("key").agg(F.min(by).alias("first"))
+    rows = keyed.join(first, "key").orderBy("first", "key", "path").select("key", "path").toLocalIterator()
+    for key, group in itertools.groupby(rows, key=lambda r: r["key"]):
+        yield key, [r["path"] for r in group]
+
 
-    groups = file_schemas(spark, paths)
+def _read_by_names(spark: SparkSession, groups: list[tuple[T.StructType, list[str]]], aliases: dict[str, str]) -> DataFrame:
     if not groups:
         raise ValueError("no Parquet files to read")
-    aliases = aliases or {}
     final: dict[str, list[T.DataType]] = {}
     for schema, files in groups:
         names = [aliases.get(f.name, f.name) for f in schema.fields]
@@ -410,10 +484,7 @@ def read_consistent(spark: SparkSession, paths: list[str], aliases: dict[str, st
         df = spark.read.schema(schema).parquet(*files)
         have = {aliases.get(f.name, f.name): _fitted(F.col(_quoted(f.name)), f.dataType, kinds[aliases.get(f.name, f.name)]) for f in schema.fields}
         parts.append(df.select([have[n].alias(n) if n in have else F.lit(None).cast(k).alias(n) for n, k in kinds.items()]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _widest(types: list[T.DataType]) -> T.DataType:
@@ -428,7 +499,7 @@ def _widest(types: list[T.DataType]) -> T.DataType:
         return types[0]
     names = [t.simpleString() for t in types]
     long_names = {"int": "integer", "bigint": "long", "smallint": "short", "tinyint": "byte"}
-    wide = wider_type.func([long_names.get(t, "timestamp" if t == "timestamp_ntz" and len(set(names)) > 1 else t) for t in names])
+    wide = wider_type([long_names.get(t, "timestamp" if t == "timestamp_ntz" and len(set(names)) > 1 else t) for t in names])
     return next((t for t, n in zip(types, names) if long_names.get(n, n) == wide), None) or T.DataType.fromDDL(wide)
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Key under which Spark keeps a table's schema in the footer.
 SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
@@ -41,7 +39,7 @@ def _schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own is None:
                 own = from_arrow_schema(schema.remove_metadata(), prefer_timestamp_ntz=True).json().encode()
             texts.append(own.decode())
-        yield pa.record_batch([batch["path"], pa.array(texts, pa.string())], ["path", "schema"])
+        yield pa.record_batch([batch["path"], batch["modified"], pa.array(texts, pa.string())], ["path", "modified", "schema"])
 
 
 def open_path(path: str):
@@ -53,9 +51,6 @@ def open_path(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def file_schemas(spark: SparkSession, paths: list[str]) -> list[tuple[T.StructType, list[str]]]:
-    """Each distinct schema of the files below ``paths`` with its files, in the order of the smallest path."""
-    found = list_files(spark, paths).select("path").mapInArrow(_schemas, "path string, schema string")
-    rows = found.groupBy("schema").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()
-    out = [(T.StructType.fromJson(json.loads(r["schema"])), list(r["paths"])) for r in rows]
-    return sorted(out, key=lambda x: x[1][0])
+def file_schemas(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, modified, schema): the files below ``paths`` with their schemas as Spark JSON."""
+    return list_files(spark, paths).select("path", "modified").mapInArrow(_schemas, "path string, modified timestamp, schema string")

@@ -4,6 +4,8 @@ import pytest
 from conftest import rows
 
 from siftlake.functions.schemas import declared_fields, flatten, read_message_schema
+from pyspark.sql import functions as F
+
 from siftlake.operators.schema_drift import DriftCatalogue, read_consistent, wider_type
 
 SCHEMA = "file_id bigint, dataset_id bigint, modification_time bigint, file_schema string, sql_schema string, seq int, version string"
@@ -100,9 +102,10 @@ def test_lifespans_and_casts(spark):
 
 
 def test_wider_type():
-    f = wider_type.func
-    assert f(["integer", "long"]) == "long" and f(["long", "double"]) == "double" and f(["date", "timestamp"]) == "timestamp"
+    f = wider_type
+    assert f(["integer", "long"]) == "long" and f(["integer", "double"]) == "double" and f(["long", "double"]) == "string" and f(["date", "timestamp"]) == "timestamp"
     assert f(["decimal(10,2)", "decimal(8,4)"]) == "decimal(12,4)" and f(["integer", "decimal(10,2)"]) == "decimal(12,2)" and f(["boolean", "long"]) == "string"
+    assert f(["decimal(38,0)", "decimal(38,10)"]) == "string" and f(["decimal(10,2)", "double"]) == "string"
 
 
 def test_read_consistent(spark, tmp_path):
@@ -167,3 +170,22 @@ def test_read_consistent_inside_structs(spark, tmp_path):
     got = read_consistent(spark, [str(tmp_path)])
     assert dict(got.dtypes)["s"] == "struct<a:bigint,b:string,c:bigint>"
     assert rows(got.selectExpr("id", "s.a", "s.b", "s.c", "s is null")) == sorted([(0, 0, "x", None, False), (1, 1, "x", None, False), (0, 5, None, 0, False), (1, None, None, None, True)], key=repr)
+
+
+def test_read_consistent_follows_fields(spark, tmp_path):
+    """By id and former name, with a name used again, names swapped in one version, and digits that a double would lose."""
+    import time
+
+    told = lambda c, name, **m: c.alias(name, metadata={k.replace("__", "."): v for k, v in m.items()})
+    n, big = F.col("id"), (F.col("id") + (1 << 60) + 1)
+    write = lambda *columns: (spark.range(2).select(*columns).coalesce(1).write.mode("append").parquet(str(tmp_path)), time.sleep(1.1))
+    write(told(n, "a", parquet__field__id=1), told(n * 10, "x", parquet__field__id=3), told(n * 100, "y", parquet__field__id=4), big.alias("big"), n.cast("int").alias("plain"))
+    write(told(n + 5, "b", parquet__field__id=1), told(n * 100, "x", parquet__field__id=4), told(n * 10, "y", parquet__field__id=3), (n / 2).alias("big"))
+    write(told(n + 7, "b", parquet__field__id=1), told(F.concat(F.lit("s"), n), "a", parquet__field__id=2), told(n, "renamed", former_name="plain"))
+    got = read_consistent(spark, [str(tmp_path)])
+    assert got.columns == ["b", "y", "x", "big", "plain", "a", "renamed"]
+    assert rows(got.select("b", "a", "y", "x", "big")) == sorted(
+        [(i, None, i * 10, i * 100, str(i + (1 << 60) + 1)) for i in range(2)] + [(i + 5, None, i * 10, i * 100, str(i / 2)) for i in range(2)] + [(i + 7, f"s{i}", None, None, None) for i in range(2)], key=repr
+    )
+    with pytest.raises(Exception, match="(?i)no parquet|path"):
+        read_consistent(spark, [str(tmp_path / "none")])
