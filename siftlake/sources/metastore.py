@@ -95,6 +95,8 @@ class Metastore:
         """The root, resolved anew at each use; made if missing. It must be a folder
         that its owner can write and everyone can read."""
         named = self.spark.conf.get(METASTORE_LOCATION, "") or ""
+        if not named and not self.spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {METASTORE_LOCATION} to a folder that all executors share")
         at = self.files.qualified(named or "file://" + os.path.join(os.getcwd(), "index_metastore"))
         fs, path = self.files.fs(at), self.files.path(at)
         permission = self.files._jvm.org.apache.hadoop.fs.permission
@@ -135,9 +137,18 @@ class Metastore:
             build(aside)
             self.files.write(f"{aside}/{SUCCESS}", "")
             self._cache.pop(at, None)
+            # the old index goes aside, so that it is back where moving the new one fails
+            old = f"{self.root}/_building/{uuid.uuid4().hex}"
             if self.files.exists(at):
-                self.files.delete(at)
-            self.files.rename(aside, at)
+                self.files.rename(at, old)
+            try:
+                self.files.rename(aside, at)
+            except BaseException:
+                if self.files.exists(old) and not self.files.exists(at):
+                    self.files.rename(old, at)
+                raise
+            if self.files.exists(old):
+                self.files.delete(old)
         finally:
             if self.files.exists(aside):
                 self.files.delete(aside)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from siftlake.operators.heavy import heavy_keys, skew_join
 from siftlake.plans.ordered import gap_islands, next_marked, ordered_scan
-from siftlake.plans.shared import cut, row_count_within, sized_join
+from siftlake.plans.shared import cut, drop_made, made, row_count_within, sized_join
 
 
 def hot_groups(n, seed=0):
@@ -93,3 +93,16 @@ def test_scans_in_small_batches(spark):
         test_gap_islands_across_blocks(spark)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_folders_can_be_dropped(spark, tmp_path):
+    before = made()
+    df = cut(spark.range(10))
+    file = df.inputFiles()[0].removeprefix("file:")
+    import os
+
+    assert os.path.exists(file) and made() == before + 1
+    drop_made(before)
+    assert not os.path.exists(file) and made() == before
+    # broad rows are no small table
+    assert not row_count_within(spark.range(10).selectExpr("repeat('x', 1000) s", "array(id) a"), 10, size=5000)
