@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from siftlake.functions.filters import load_filter
 from siftlake.plans.predicate import Leaf, Node, can_be, leaves, row_can_be
 from siftlake.plans.scan import scan_of
+from siftlake.sources.index_build import FILES_SCHEMA, FILTERS_SCHEMA
 from siftlake.sources.metastore import Files
 
 #: Row groups up to which a loaded index is kept by the executors.
@@ -36,9 +37,10 @@ class LoadedIndex:
         self.filter: str | None = meta["filter"]
         self.folder: bool = meta["folder"]
         self.files_total, self.blocks_total = meta["files"], meta["blocks"]
-        self.files = spark.read.parquet(f"{at}/files")
-        self.stats = spark.read.parquet(f"{at}/stats")
-        self.filters = spark.read.parquet(f"{at}/filters") if self.filter else None
+        # with their schemas, so that no footer is read for them
+        self.files = spark.read.schema(FILES_SCHEMA).parquet(f"{at}/files")
+        self.stats = spark.read.schema(T.StructType.fromJson(json.loads(meta["stats_schema"]))).parquet(f"{at}/stats")
+        self.filters = spark.read.schema(FILTERS_SCHEMA).parquet(f"{at}/filters") if self.filter else None
         self.local = self.blocks_total <= LOCAL_BLOCKS and meta["filter_bytes"] <= LOCAL_FILTER_BYTES
         self._rows: list[dict] | None = None
         self._loaded: dict[tuple[int, int, int], object] = {}

@@ -24,7 +24,9 @@ from siftlake.plans.shared import cut, fresh_dir
 from siftlake.sources.footers import SPARK_SCHEMA, list_files, open_path
 from siftlake.sources.metastore import Metastore, dump_json
 
-FORMAT_VERSION = 2
+FORMAT_VERSION = 3
+FILES_SCHEMA = "file_path string, path string, file_key bigint, length bigint, modified timestamp, rows bigint, blocks bigint"
+FILTERS_SCHEMA = "file_key bigint, block int, col int, kind string, data binary"
 STATS_SCHEMA = "file_key bigint, block int, col int, rows bigint, nulls bigint, a_num bigint, b_num bigint, a_str string, b_str string, kind string, data binary"
 
 
@@ -283,7 +285,8 @@ def build_index(spark: SparkSession, root: str, to: str, columns: list[str] | No
     where = files.select("file_key", "file_path", "path")
     pieces = max(1, told["blocks"] // 200_000)
     table = stats.groupBy("file_key", "block").agg(F.max("rows").alias("rows"), *wide).join(where, "file_key")
-    table.select("file_path", "path", "file_key", "block", "rows", *[f"{x}{i}" for i in range(len(kinds)) for x in "nab"]).coalesce(pieces).write.parquet(f"{to}/stats")
+    table = table.select("file_path", "path", "file_key", "block", "rows", *[f"{x}{i}" for i in range(len(kinds)) for x in "nab"])
+    table.coalesce(pieces).write.parquet(f"{to}/stats")
     counts = groups.groupBy("file_key").agg(F.sum("rows").alias("rows"), F.count_if(F.col("block") >= 0).alias("blocks"))
     files.join(counts, "file_key", "left").select("file_path", "path", "file_key", "length", "modified", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("blocks", F.lit(0)).alias("blocks")).coalesce(pieces).write.parquet(f"{to}/files")
     if filters is not None:
@@ -293,6 +296,7 @@ def build_index(spark: SparkSession, root: str, to: str, columns: list[str] | No
         "table_path": root,
         "folder": Metastore(spark).files.is_dir(root),
         "data_schema": _with_metadata(base.schema, groups.join(where, "file_key")).json(),
+        "stats_schema": table.schema.json(),
         "partition_columns": part_names,
         "columns": [{"name": n, "type": k} for n, k in zip(names, kinds)],
         "filter": option,
